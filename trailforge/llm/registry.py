@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, pii, quality, simhash
+from . import media, packing, pii, quality, simhash, wavelet
 from .common import documents
 
 
@@ -14,6 +14,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_files(documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
@@ -29,6 +37,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_packing": op3_packing,
+        "op7_token_files": op7_token_files,
         "op8_simhash": op8_simhash,
         "op9_media_columns": op9_media_columns,
         "op10_pii": op10_pii,
