@@ -1,0 +1,161 @@
+"""Quality rules, line dedup, media columns and personal data on small tables, against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from trailforge.llm import linededup, media, pii, quality
+
+WORDS = " ".join(f"w{i}" for i in range(60))
+TEXTS = [None, "", "\n\n", "a b c", WORDS, WORDS + "\n" + WORDS, "x y z " * 40, "# $ % " * 40 + WORDS, WORDS + "\nshort\n\n" + WORDS]
+
+
+def docs_of(spark, texts, source="s"):
+    return spark.createDataFrame([(i, t, source, "clash", 5) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_words string, n_chars int")
+
+
+def slow_counts(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = Counter(tri)
+    inside = {i + k for i, t in enumerate(tri) if often[t] > 1 for k in range(3)}
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines), len(lines) - len(set(lines)), len(inside))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n\t\x0b\x1c\x85é#|"))
+def test_counts(text):
+    assert quality.measure(text) == slow_counts(text)
+
+
+def test_quality(spark):
+    docs = docs_of(spark, TEXTS)
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert all(tuple(got[i][c] for c in quality.COUNTS) == slow_counts(t) for i, t in enumerate(TEXTS))
+    assert [i for i in got if got[i].kept] == sorted(i for i in got if got[i].kept) == [4]
+    kept = quality.filter_documents(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [4]
+    assert quality.quality_rules(docs.limit(0)).count() == 0 and quality.filter_documents(docs.limit(0)).count() == 0
+
+
+def test_strict_hosts(spark):
+    weak = WORDS + " #" * 4  # 6 % symbols: within the rule, beyond half of it
+    rows = [(i, "x", "bad") for i in range(50)] + [(100, weak, "bad"), (101, weak, "good"), (102, weak, None)] + [(200 + i, WORDS, "good") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id for r in quality.filter_documents(docs).collect()}
+    assert 101 in kept and 100 not in kept and len(kept) == 52
+    assert {r.doc_id for r in quality.quality_rules(docs).where("kept").collect()} == kept
+    assert quality.beta_prior(2, 0.5, 0.05) == pytest.approx((2.0, 2.0)) and quality.beta_prior(1, 0.5, None) == (1.0, 1.0)
+
+
+def slow_dedup(texts, least=50):
+    docs = {i: t.split("\n") for i, t in enumerate(texts) if t is not None}
+    seen, gone = {}, {i: set() for i in docs}
+    for i, lines in docs.items():
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(re.findall(linededup.WORD, x)) for x in lines[a:b]) >= least:
+                    if seen.setdefault(tuple(lines[a:b]), (i, a)) != (i, a):
+                        gone[i] |= set(range(a, b))
+                    break
+    return {i: (len(x), len(gone[i]), "\n".join(s for k, s in enumerate(x) if k not in gone[i])) for i, x in docs.items()}
+
+
+def test_line_dedup(spark):
+    import random
+
+    rng = random.Random(5)
+    some = ["", "a b", "c", "d e f", WORDS, "h " * 9, "k " * 20]
+    texts = [*TEXTS, *("\n".join(rng.choice(some[: rng.randint(2, 7)]) for _ in range(rng.randint(1, 40))) for _ in range(30))]
+    texts += [texts[12], texts[12] + "\nend", "\n".join(["u"] * 300), "\n".join(["u"] * 120)]
+    docs = docs_of(spark, texts)
+    docs = docs.unionByName(docs.where("doc_id = 12"))  # an equal row is the same document
+    for least in (50, 7):
+        want = slow_dedup(texts, least)
+        for r in linededup.dedup_lines(docs, least).collect():
+            assert (r["__lines"], r["__removed"], r.text) == want.get(r.doc_id, (0, 0, None)) and r.n_words == "clash"
+    kept = linededup.filter_lines(docs)
+    want = slow_dedup(texts)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(len(texts)) if i not in want or not 0 < want[i][1] == want[i][0]}
+    assert linededup.line_report(docs.limit(0)).count() == 0
+
+
+def test_media(spark):
+    texts = [None, "", "x" * 192, "é" * 40_000, "x" * 193]
+    for r in media.media_columns(docs_of(spark, texts)).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        body = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(bytes(r.media)).hexdigest())
+        track = media.read_track(bytes(r.media))
+        assert (track["codec"], track["duration"], track["timescale"]) == ("raw ", len(body), 8000)
+        whole = b"".join(bytes(r.media)[a:b] for a, b in track["ranges"])
+        assert whole == body and track["key_ranges"] == track["ranges"][:: media.KEYFRAME_EVERY]
+    assert media.media_columns(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_walk_refuses_broken_boxes():
+    blob = bytearray(media.write_container(b"y" * 192))
+    blob[0:4] = (1 << 30).to_bytes(4, "big")
+    with pytest.raises(ValueError):
+        media.read_track(bytes(blob))
+
+
+def slow_base(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["a", "@", ".", "-", "+", "1", "25", "4242424242424242", " ", "(", "b.c", "é", "٣", "\n", "+1 (555) 123-4567", "10.0.0.1", "a@b.co", "000"]), max_size=25).map("".join))
+def test_base_spans(text):
+    assert pii.base_spans(text) == slow_base(text)
+
+
+def test_field():
+    w = pii.weights()
+    base, spans = pii.find("write jane.doe at mail dot com or call (415) 555-0123, password=a8f4d1c9b2e7f6a0 now. a@b.co", w)
+    assert base == [("email", 86, 92)]
+    kinds = {k: "write jane.doe at mail dot com or call (415) 555-0123, password=a8f4d1c9b2e7f6a0 now. a@b.co"[a:b] for k, a, b in spans if (k, a, b) not in base}
+    assert kinds == {"email": "jane.doe at mail dot com", "phone": "(415) 555-0123", "secret": "a8f4d1c9b2e7f6a0"}
+    assert pii.find("In 1984 we met at noon; it cost 3.50, about 12 items in 2020-11-05.", w)[1] == []
+
+
+def test_decoding_is_the_best_segmentation():
+    import random
+
+    w, rng = pii.weights(), random.Random(4)
+    for _ in range(25):
+        text, _ = pii._line(rng)
+        tokens = pii.tokens_of(text)[:9]
+        arcs = pii._scores(w, pii._lattice(text, tokens))
+
+        def best(j, arcs=arcs):
+            return 0.0 if not j else max([best(j - 1), *(best(i) + s for i, _, s in arcs.get(j, ()))])
+
+        got = sum(next(s for i, y, s in arcs[[t[1] for t in tokens].index(b) + 1] if tokens[i][0] == a and pii.LABELS[y] == k) for a, b, k in pii.decode(text, tokens, w))
+        assert got == pytest.approx(best(len(tokens)))
+
+
+def test_pii_tables(spark):
+    texts = [None, "", "mail a@b.co", "x" * 50_000 + "@", "7" * 3000]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r for r in pii.pii_spans(docs).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert [got[i].base_sha256 == empty for i in range(5)] == [True, True, False, True, True]
+    assert got[2].spans == "email:5:11" and got[2].n_email == 1
+    red = {r.doc_id: r for r in pii.redact_documents(docs).collect()}
+    assert red[2].text == "mail <email>" and red[2].n_chars == 12 and red[0].text is None and red[2].n_words == "clash"
+    assert pii.redact_documents(docs.limit(0)).count() == 0

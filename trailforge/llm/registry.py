@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, pii, quality, simhash, wavelet
+from . import linededup, media, packing, pii, quality, simhash, wavelet
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(documents(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(documents(spark, sf_dir))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_packing": op3_packing,
+        "op5_line_dedup": op5_line_dedup,
         "op7_token_files": op7_token_files,
         "op8_simhash": op8_simhash,
         "op9_media_columns": op9_media_columns,
@@ -69,5 +74,20 @@ FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.host
 """
 
 
+OP5_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(range(len(s))) AS ln, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY ln) AS upto FROM w),
+e AS (SELECT a.doc_id, a.ln, min(b.ln) AS last FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.ln >= a.ln AND b.upto - a.upto + a.words >= 50 GROUP BY a.doc_id, a.ln),
+r AS (SELECT e.doc_id, e.ln, e.last, string_agg(md5(x.line), ',' ORDER BY x.ln) AS run FROM e JOIN l x ON e.doc_id = x.doc_id AND x.ln BETWEEN e.ln AND e.last GROUP BY e.doc_id, e.ln, e.last),
+late AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, ln) AS k FROM r) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(ln, last + 1)) AS ln FROM late),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.ln) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.ln) FILTER (gone.ln IS NULL), '') AS text
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.ln = gone.ln GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, length(k.text)::BIGINT AS n_chars, md5(k.text) AS text_md5
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL}
