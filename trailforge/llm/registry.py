@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, media, packing, pii, quality, simhash, wavelet
+from . import licenses, linededup, media, packing, pii, quality, simhash, wavelet
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_license_scan": op2_license_scan,
         "op3_packing": op3_packing,
         "op5_line_dedup": op5_line_dedup,
         "op7_token_files": op7_token_files,
@@ -89,5 +94,26 @@ FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 
+def _op2_sql() -> str:
+    rows = ", ".join(f"('{n}', {sorted(set(t.split()))})" for n, t in licenses.TEMPLATES.items())
+    phrases = ", ".join(f"('{p}', {p.split()}, '{label}')" for p, label in licenses.PHRASES.items())
+    return rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+p(phrase, parts, label) AS (VALUES {phrases}),
+b AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, parts, label, unnest(range(0, len(w) - len(parts) + 1)) AS i FROM w, p) WHERE w[i + 1 : i + len(parts)] = parts),
+g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY doc_id),
+l AS (SELECT doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+tm(template, t) AS (VALUES {rows}),
+m AS (SELECT doc_id, template, len(list_intersect(list_distinct(lw), t)) / len(t) AS c FROM l, tm WHERE len(list_intersect(list_distinct(lw), t)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)),
+k AS (SELECT doc_id, list(DISTINCT template) AS met, max(c) AS best FROM m GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(base, []::VARCHAR[])), ',') AS base_labels,
+  array_to_string(list_sort(list_concat(coalesce(base, []::VARCHAR[]), coalesce(met, []::VARCHAR[]))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0) END::DOUBLE AS score
+FROM w LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_license_scan": _op2_sql(), "op5_line_dedup": OP5_SQL}
