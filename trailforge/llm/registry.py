@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, linededup, media, packing, pii, quality, simhash, wavelet
+from . import classifier, licenses, linededup, media, packing, pii, quality, simhash, wavelet
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op3_packing": op3_packing,
         "op5_line_dedup": op5_line_dedup,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_token_files": op7_token_files,
         "op8_simhash": op8_simhash,
         "op9_media_columns": op9_media_columns,
