@@ -75,4 +75,4 @@ def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind) if kind not in _KINDS else _KINDS[kind], True)
 
 
-_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "binary": T.BinaryType(), "array<long>": T.ArrayType(T.LongType()), "array<string>": T.ArrayType(T.StringType())}
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "binary": T.BinaryType(), "array<double>": T.ArrayType(T.DoubleType()), "array<long>": T.ArrayType(T.LongType()), "array<string>": T.ArrayType(T.StringType())}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, licenses, linededup, media, packing, pii, quality, simhash, wavelet
+from . import classifier, licenses, linededup, media, packing, pieces, pii, quality, simhash, wavelet
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(documents(spark, sf_dir), keep_ids=False)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_license_scan": op2_license_scan,
         "op3_packing": op3_packing,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_line_dedup": op5_line_dedup,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_token_files": op7_token_files,
