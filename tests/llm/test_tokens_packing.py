@@ -26,12 +26,18 @@ def ids_of(text, end):
     return array("I", [*plain().encode(text or "", add_special_tokens=False).ids, end]).tobytes()
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=3000, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \t\n\r\x0b\x1c\x85 ᠎​ 'sab1²³.,!Ⅷé́中̀<|"), st.characters(exclude_categories=["Cs"])), max_size=30))
 def test_chunks_give_the_whole_texts_ids(text):
     assert encoder(default_tokenizer()).encode(text) == array("I", plain().encode(text, add_special_tokens=False).ids).tobytes()
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([" the", "the", "\n", " ", ".", ",", "!!", "é", "ü", "β", "²", "5", "_", "'s", "Straße", " x", "\t", "́", "中", "|", "'"]), max_size=12).map("".join))
+def test_words_give_the_whole_texts_ids(text):
+    assert encoder(default_tokenizer()).encode(text) == array("I", plain().encode(text, add_special_tokens=False).ids).tobytes()
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 1), (513, 2), (5000, 50_257), (2048, 70_000)):

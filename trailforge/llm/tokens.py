@@ -9,11 +9,16 @@ from functools import cache
 
 #: Chunks remembered by each Python worker before the memo starts anew.
 MEMO = 1_000_000
-#: White space and what follows it up to the next white space. The tokenizer's own split pattern never joins white
-#: space to a character before it that is not white space, so tokens never cross a chunk's start.
-_CHUNK = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
+_L = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Chunks start only where a token must start, as the tokenizer's own split pattern never joins white space to a character
+#: before it that is not white space, nor a letter to punctuation after it: a word of Latin letters before space or
+#: punctuation, the punctuation, a single line end before a letter, or white space and all up to the next.
+_CHUNK = re.compile(rf"(?> ?[{_L}]+)(?=[ \n.,;:!?]|\Z)|[.,;:!?]+(?=[ \n]|\Z)|\n(?=[{_L}])|[ \t\n]*[^ \t\n]+|[ \t\n]+")
 #: White space other than these three may stand next to a cut; such a text is encoded in one piece.
-_ODD = re.compile(r"[^\S \t\n]|[\x1c-\x1f\x85᠎​﻿]")
+_ODD = re.compile("[\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Bytes that a byte-level vocabulary writes as themselves; the others follow from 256 on, in order.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_WRITTEN = {b: chr(b if b in _PLAIN else 256 + k) for k, b in enumerate(sorted(set(range(256)) - _PLAIN))} | {b: chr(b) for b in _PLAIN}
 
 
 def default_tokenizer() -> str:
@@ -30,13 +35,20 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self[chunk] = self.whole(chunk)
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word.isalpha():  # one piece of the split pattern: the model can have it at once
+            written = chunk.encode().decode("latin-1").translate(_WRITTEN)
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
+        else:
+            found = self.whole(chunk)
+        self[chunk] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
