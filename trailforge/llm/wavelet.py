@@ -39,8 +39,7 @@ def build(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None]) -> by
     x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     planes, ranks, zeros = [], [], []
     for b in range(bits - 1, -1, -1):
-        bit = (x >> b) & 1
-        ones = bit.astype(bool)
+        ones = (x & x.dtype.type(1 << b)).astype(bool)
         packed = np.packbits(ones, bitorder="little")
         packed = np.pad(packed, (0, -len(packed) % (BLOCK // 8)))
         counts = np.bitwise_count(packed.reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.uint32)
@@ -131,9 +130,12 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: planes undone from the last to the first."""
-        x = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint32)
+        wide = np.uint16 if self.bits <= 16 else np.uint32
+        x = np.zeros(self.n, dtype=np.uint8 if self.bits else wide)  # the last eight planes fit a byte
         for k in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
+            if self.bits - 1 - k == 8:
+                x = x.astype(wide)
+            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
             y[~ones] = x[: self.zeros[k]]
             y[ones] = x[self.zeros[k] :] | x.dtype.type(1 << (self.bits - 1 - k))
@@ -162,10 +164,10 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator
         return row
 
     for batch in batches:
-        for name, text in zip(batch.column(0), batch.column(1), strict=True):
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             got = enc.encode(text.as_py()) + end
             ids.append(got)
-            names.append(name.as_py())
+            names.append(name)
             lengths.append(len(got) // 4)
             held += lengths[-1]
             if held >= size:
