@@ -28,7 +28,7 @@ from .tokens import default_tokenizer, encoder
 
 MAGIC = b"WMX1"
 BLOCK = 512
-SHARD = 1 << 20
+SHARD = 1 << 18
 END = 0
 
 
@@ -45,9 +45,9 @@ def build(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None]) -> by
         counts = np.bitwise_count(packed.reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.uint32)
         planes.append(packed.tobytes())
         ranks.append(np.r_[np.uint32(0), np.cumsum(counts, dtype=np.uint32)].astype("<u4").tobytes())
-        low = x[~ones]
+        low = np.compress(~ones, x)  # several times as fast as indexing by a mask
         zeros.append(len(low))
-        x = np.concatenate([low, x[ones]])
+        x = np.concatenate([low, np.compress(ones, x)])
     present = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     names = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
     head = struct.pack("<4sIQQ", MAGIC, bits, n, len(doc_ids)) + struct.pack(f"<{bits}Q", *zeros)
@@ -137,8 +137,8 @@ class WaveletMatrix:
                 x = x.astype(wide)
             ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
-            y[~ones] = x[: self.zeros[k]]
-            y[ones] = x[self.zeros[k] :] | x.dtype.type(1 << (self.bits - 1 - k))
+            y[np.flatnonzero(~ones)] = x[: self.zeros[k]]
+            y[np.flatnonzero(ones)] = x[self.zeros[k] :] | x.dtype.type(1 << (self.bits - 1 - k))
             x = y
         return x
 
@@ -192,6 +192,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
         before[part], total = total, total + parts[part]
 
     def run(batches):
+        encoder.cache_clear()  # a worker that wrote shards before needs its memo no more
         for batch in batches:
             for part, first, blob in zip(*(batch.column(k) for k in range(3)), strict=True):
                 m = WaveletMatrix(blob.as_py())
