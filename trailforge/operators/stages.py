@@ -156,7 +156,8 @@ class MovingAverage:
         n = F.count(F.lit(1)).over(near)
 
         def mean(c: str) -> Column:
-            return (F.sum(c).over(near) + (self.window - n) * F.first(c).over(so_far())) / self.window
+            before = F.when(n < self.window, (self.window - n) * F.first(c).over(so_far())).otherwise(0.0)  # 0 * NaN is NaN
+            return (F.sum(c).over(near) + before) / self.window
 
         return _smooth(df, {c: mean(c) for c in SMOOTHED})
 

@@ -50,8 +50,11 @@ def run_chain(records: DataFrame, chain: Iterable) -> DataFrame:
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast(kind))
     out = out.repartition("track_id")
-    for stage in chain:
+    chain = list(chain)
+    for k, stage in enumerate(chain):
         out = stage.apply(out)
+        if isinstance(stage, g.Gates) and any(not isinstance(x, s.StopMark) for x in chain[k + 1 :]):
+            out = out.repartition("track_id")  # one exchange for all windows to come
     return out.drop(s.ALIVE)
 
 

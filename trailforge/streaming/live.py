@@ -1,7 +1,7 @@
 """A chain over a stream of records, one state for each track.
 
 Records count in the order they arrive: by micro-batch, and within one by file and record. Late records are processed
-when they come; there is no watermark, as a filter's state has no end in event time.
+when they come; there is no watermark, as a filter's state has no end in event time. NaN comes out as null.
 """
 
 from __future__ import annotations
