@@ -56,7 +56,7 @@ def test_library_decodes_the_same():
 
 
 def test_tables(spark):
-    texts = [None, "", "a b", "word " * 4000, "x" * 30_000, "a b"]
+    texts = [None, "", "a b", "word " * 4000, "ends. Here, and\nthere:  é!", "x" * 30_000, "a b"]
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
     got = {r.doc_id: r for r in P.encode_documents(docs).collect()}
     for i, t in enumerate(texts):

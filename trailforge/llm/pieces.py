@@ -6,8 +6,8 @@ best segmentations are those with the largest sums. Forward Viterbi scores are e
 still get, so backward A-star search pops complete segmentations in order of their scores.
 
 Pieces never have a word mark after their first character (runs of marks, which the model scores as never to be used,
-are left out) nor a line end, so the lattice falls apart before every mark and around every line end. A chunk
-between such cuts is solved once per process and remembered. The N best of the text differ from its best
+are left out) nor a line end, so the lattice falls apart before every mark and around every line end, and wherever two
+characters stand next to each other in no piece. A chunk between such cuts is solved once per process and remembered. The N best of the text differ from its best
 only in the N - 1 chunks whose second best costs least, so A-star runs over these, and their lists are merged in
 order of the sums.
 
@@ -18,6 +18,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
@@ -33,8 +34,12 @@ MARK = "▁"
 PENALTY = 10.0
 BEST = 4
 #: Chunks remembered by each Python worker before the memo starts anew.
-MEMO = 500_000
-_CHUNK = re.compile(f"\n|{MARK}?[^{MARK}\n]+|{MARK}")
+MEMO = 800_000
+_CHUNK = re.compile(rf"\n|{MARK}?[^{MARK}\n]+|{MARK}")
+#: Where no piece joins a Latin letter to a point or comma, words stand apart from these, too.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_WORD = re.compile(rf"\n|{MARK}?[{_LATIN}]+(?=[.,])|{MARK}?[^{MARK}\n]+|{MARK}")
+_JOINED = re.compile(f"[{_LATIN}][.,]")
 
 
 def default_model() -> str:
@@ -67,16 +72,21 @@ class Lattice:
         #: A piece's score, or None for what is only the start of longer pieces.
         self.starts: dict[str, float | None] = {x[:k]: None for x in self.scores for k in range(1, len(x))}
         self.starts |= {x: s for x, (s, _) in self.scores.items()}
+        self.coded = {x: i.to_bytes(4, "little") for x, (_, i) in self.scores.items()}
         self.lowest = min(s for s, _ in self.scores.values()) - PENALTY
+        #: Characters that stand next to each other in a piece; a lattice falls apart between any others.
+        self.pairs = {x[k : k + 2] for x in self.scores for k in range(len(x) - 1)}
+        self.chunk = _CHUNK if any(map(_JOINED.match, self.pairs)) else _WORD
         self.memo: dict[str, int] = {}
+        self.parts: dict[str, tuple[float, float, bytes]] = {}
         self.forget()
 
     def forget(self) -> None:
         self.memo.clear()
-        self.best: list[float] = []
-        self.gap: list[float] = []
+        self.parts.clear()
         self.ids: list[bytes] = []
-        self.text: list[bytes] = []
+        #: For every remembered chunk its best score, what its second best lacks, and whether its ids decode to it.
+        self.best, self.gap, self.same = np.zeros(1024), np.zeros(1024), np.zeros(1024, bool)
         self.several: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def edges(self, chunk: str) -> list[list[tuple[int, float]]]:
@@ -106,47 +116,66 @@ class Lattice:
         return alpha, back
 
     def cuts_to_ids(self, chunk: str, cuts: list[int]) -> bytes:
-        out = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            hit = self.scores.get(chunk[a:b])
-            out += [hit[1]] if hit else [self.byte_ids[x] for x in chunk[a:b].encode("utf-8", "surrogatepass")]
-        return b"".join([i.to_bytes(4, "little") for i in out])
+        coded = self.coded
+        parts = [chunk[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return b"".join([coded[x] if x in coded else self._bytes(x) for x in parts])
+
+    def _bytes(self, x: str) -> bytes:
+        return b"".join([self.byte_ids[b].to_bytes(4, "little") for b in x.encode("utf-8", "surrogatepass")])
 
     def solve(self, chunk: str) -> int:
-        """Remembers the chunk's best score, ids, and how much less its second best has (infinite without one).
+        """Remembers the chunk's best score, ids, and how much less its second best has (infinite without one); all of
+        these from its parts between characters that no piece joins."""
+        pairs, parts = self.pairs, self.parts
+        found, a = [], 0
+        for k in range(1, len(chunk) + 1):
+            if k == len(chunk) or chunk[k - 1 : k + 1] not in pairs:
+                part = chunk[a:k]
+                found.append(parts[part] if part in parts else self.solve_part(part))
+                a = k
+        if len(found) == 1:
+            best, gap, ids = found[0]
+        else:
+            scores, gaps, ids_of = zip(*found, strict=True)
+            best, gap, ids = sum(scores), min(gaps), b"".join(ids_of)
+        k = self.memo[chunk] = len(self.ids)
+        self.ids.append(ids)
+        if k == len(self.best):
+            self.best, self.gap, self.same = (np.concatenate([x, np.zeros_like(x)]) for x in (self.best, self.gap, self.same))
+        self.best[k], self.gap[k] = best, gap
+        self.same[k] = b"".join([self.written[i] for i in array("I", ids)]) == chunk.replace(MARK, " ").encode("utf-8", "surrogatepass")
+        return k
 
-        The two best scores up to every position, in one forward pass."""
-        n, starts = len(chunk), self.starts
+    def solve_part(self, part: str) -> tuple[float, float, bytes]:
+        """Score, gap and ids of a part: the two best scores up to every position, in one forward pass."""
+        n, starts = len(part), self.starts
         one, two, back = [-np.inf] * (n + 1), [-np.inf] * (n + 1), [0] * (n + 1)
         one[0] = 0.0
         for i in range(n):
             x, y = one[i], two[i]
             for j in range(i + 1, n + 1):
-                if (part := chunk[i:j]) not in starts:
+                if (piece := part[i:j]) not in starts:
                     if j > i + 1:
                         break
                     s = None
                 else:
-                    s = starts[part]
+                    s = starts[piece]
                 if s is None:
                     if j > i + 1:
                         continue
                     s = self.lowest
-                if x + s > one[j]:
+                v = x + s
+                if v > one[j]:
                     two[j] = max(one[j], y + s)
-                    one[j], back[j] = x + s, i
-                elif x + s > two[j]:
-                    two[j] = x + s
+                    one[j], back[j] = v, i
+                elif v > two[j]:
+                    two[j] = v
         at, cuts = n, [n]
         while at:
             at = back[at]
             cuts.append(at)
-        k = self.memo[chunk] = len(self.best)
-        self.best.append(one[n])
-        self.gap.append(one[n] - two[n])
-        self.ids.append(self.cuts_to_ids(chunk, cuts[::-1]))
-        self.text.append(b"".join([self.written[i] for i in array("I", self.ids[-1])]))
-        return k
+        found = self.parts[part] = (one[n], one[n] - two[n], self.cuts_to_ids(part, cuts[::-1]))
+        return found
 
     def astar(self, chunk: str, count: int) -> list[tuple[float, bytes]]:
         """The count best (score, ids) of a chunk, backward from its end; every position is left count times at most."""
@@ -172,8 +201,8 @@ class Lattice:
         return out
 
     def _chunks(self, text: str) -> tuple[list[str], list[int]]:
-        chunks = _CHUNK.findall(MARK + text.replace(" ", MARK))
-        if len(self.best) > MEMO:
+        chunks = self.chunk.findall(MARK + text.replace(" ", MARK))
+        if len(self.ids) > MEMO:
             self.forget()
         memo = self.memo
         at = list(map(memo.get, chunks))
@@ -191,14 +220,16 @@ class Lattice:
         """The count best (score, ids as bytes of little-endian unsigned 32-bit integers) of a whole text."""
         return self.round_trip(text, count)[0]
 
-    def round_trip(self, text: str | None, count: int = BEST) -> tuple[list[tuple[float, bytes]], str]:
-        """encode(), and the text decoded from the best ids, chunk by chunk."""
+    def round_trip(self, text: str | None, count: int = BEST) -> tuple[list[tuple[float, bytes]], bool]:
+        """encode(), and whether the best ids, decoded chunk by chunk, are the text again."""
         if not text:
-            return [(0.0, b"")], ""
+            return [(0.0, b"")], True
         chunks, at = self._chunks(text)
-        total = sum(map(self.best.__getitem__, at))
+        where = np.array(at)
+        total = float(self.best[where].sum())
         parts = list(map(self.ids.__getitem__, at))
-        gaps = np.fromiter(map(self.gap.__getitem__, at), float, len(at))
+        gaps = self.gap[where]
+        same = MARK not in text and bool(self.same[where].all())
         cheap = np.arange(len(at)) if len(at) < count else np.argpartition(gaps, count - 2)[: count - 1] if count > 1 else []
         lists = [(k, found) for k in sorted(map(int, cheap)) if len(found := self._several(chunks[k], count)) > 1]
         heap: list[tuple] = [(-total, (0,) * len(lists))]
@@ -215,7 +246,7 @@ class Lattice:
                 if r < len(found) and step not in seen:
                     seen.add(step)
                     heappush(heap, (cost + found[r - 1][0] - found[r][0], step))
-        return out, b"".join(map(self.text.__getitem__, at)).removeprefix(b" ").decode("utf-8", "replace")
+        return out, same
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: marks are spaces, the first of which goes; byte pieces join to characters."""
@@ -234,12 +265,14 @@ def encode_documents(docs: DataFrame, model: str | None = None, count: int = BES
     path = model or default_model()
 
     def run(_, texts):
+        gc.disable()  # nothing here makes cycles, and collections would walk the memo again and again
         lat, rows = lattice(path), []
         for text in texts.to_pylist():
             best, again = lat.round_trip(text, count)
             ids = best[0][1]
-            row = (len(ids) // 4, zlib.crc32(ids), best[0][0], [s for s, _ in best], [zlib.crc32(x) for _, x in best], again == (text or ""))
+            row = (len(ids) // 4, zlib.crc32(ids), best[0][0], [s for s, _ in best], [zlib.crc32(x) for _, x in best], again)
             rows.append((*row, np.frombuffer(ids, "<u4").tolist()) if keep_ids else row)
+        gc.enable()
         return list(zip(*rows, strict=True)) or [[]] * (6 + keep_ids)
 
     fields = [field("n_pieces", "long"), field("ids_crc32", "long"), field("score", "double"), field("nbest_scores", "array<double>"), field("nbest_crc32", "array<long>"), field("decoded_equal", "boolean")]
