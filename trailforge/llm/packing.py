@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, no_collections
 
 LENGTH = 2048
 UNIT = 8
@@ -166,7 +166,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
         for batch in batches:
             rows: list[tuple] = []
             for name, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids, name = enc.encode(text.as_py()) + end, name.as_py()
+                with no_collections():
+                    ids, name = enc.encode(text.as_py()) + end, name.as_py()
                 n = len(ids) // 4
                 rows += ((name, a, min(length, n - a), zlib.crc32(ids[4 * a : 4 * (a + length)]), n) for a in range(0, n, length))
             cols = list(zip(*rows, strict=True)) or [[]] * 5

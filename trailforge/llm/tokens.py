@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 #: Chunks remembered by each Python worker before the memo starts anew.
@@ -66,3 +69,13 @@ class Encoder(dict):
 def encoder(path: str) -> Encoder:
     """One for each process."""
     return Encoder(path)
+
+
+@contextmanager
+def no_collections() -> Iterator[None]:
+    """Encoding makes many small objects and no cycles; collections would only look at them again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()

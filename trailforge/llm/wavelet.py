@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, no_collections
 
 MAGIC = b"WMX1"
 BLOCK = 512
@@ -165,7 +165,8 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator
 
     for batch in batches:
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            got = enc.encode(text.as_py()) + end
+            with no_collections():
+                got = enc.encode(text.as_py()) + end
             ids.append(got)
             names.append(name)
             lengths.append(len(got) // 4)
