@@ -219,10 +219,10 @@ def _haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return _DISTANCE.format(a=a)
 
 
-def _satellite(source: str) -> str:
-    return f"""sat AS (SELECT *, CASE WHEN n <= 2 THEN 'satellite: grace period'
-    WHEN NOT bool_or(n > 2 AND satellites >= 4) OVER (PARTITION BY track_id ORDER BY n) THEN 'insufficient satellites (' || satellites || ' < START 4)'
-    WHEN satellites < 3 THEN 'insufficient satellites (' || satellites || ' < 3)' END AS reason FROM {source})"""
+def _satellite(source: str, least: int = 3, start: int = 4, wait: int = 2) -> str:
+    return f"""sat AS (SELECT *, CASE WHEN n <= {wait} THEN 'satellite: grace period'
+    WHEN NOT bool_or(n > {wait} AND satellites >= {start}) OVER (PARTITION BY track_id ORDER BY n) THEN 'insufficient satellites (' || satellites || ' < START {start})'
+    WHEN satellites < {least} THEN 'insufficient satellites (' || satellites || ' < {least})' END AS reason FROM {source})"""
 
 
 _QUALITY = "CASE WHEN hdop >= 7.0 THEN 'quality: HDOP too high' WHEN len(snr) > 0 AND len(list_filter(snr, lambda x: x >= 12)) < 3 THEN 'quality: insufficient usable satellites' END"
@@ -294,6 +294,29 @@ def _point_sql(view: str = _VIEW) -> str:
   || '           Altitude: ' || printf('%.1f', altitude) || ' m, Satellites: ' || satellites || ', HDOP: ' || printf('%.1f', hdop) || {view}"""
 
 
+#: The view's sentences; degrees and numbers are what their texts say.
+_SENTENCES = """m AS (SELECT *, round(lat * 600000)::BIGINT AS y, round(lon * 600000)::BIGINT AS x FROM tv),
+p AS (SELECT *, printf('%02d%02d.%04d,N', y // 600000, y % 600000 // 10000, y % 10000) || ',' || printf('%03d%02d.%04d,E', x // 600000, x % 600000 // 10000, x % 10000) AS place FROM m),
+body AS (SELECT track_id, rec_idx, unnest(range(0, 3)) AS which, unnest([
+    'GPGSV,1,1,' || len(snr) || CASE WHEN len(snr) > 0 THEN ',' ELSE '' END || array_to_string(list_transform(snr, lambda s, i: i || ',' || (k * i % 90) || ',' || (k * 37 * i % 360) || ',' || s), ','),
+    'GPRMC,' || rec_idx || ',A,' || place || ',' || printf('%.2f', speed_kmh) || ',' || printf('%.1f', course) || ',010124,,,A',
+    'GPGGA,' || rec_idx || ',' || place || ',1,' || satellites || ',' || printf('%.1f', hdop) || ',' || printf('%.2f', altitude) || ',M,14.0,M,,']) AS b FROM p)"""
+_READ = """m AS (SELECT *, round(lat * 600000)::BIGINT AS y, round(lon * 600000)::BIGINT AS x FROM tv),
+fix AS (SELECT track_id, rec_idx, n, k, snr, satellites, hdop, altitude, CAST(rec_idx AS VARCHAR) AS time, y // 600000 + (y % 600000) / 10000.0 / 60.0 AS lat,
+  x // 600000 + (x % 600000) / 10000.0 / 60.0 AS lon, speed_kmh * 1.852 AS speed_kmh, CAST(printf('%.1f', course) AS DOUBLE) AS course FROM m)"""
+
+
+def _file_chain() -> str:
+    """The default chain over the fixes of the view's sentences."""
+    tag = f"CASE WHEN length(time) >= 6 THEN {_TAG} ELSE '[??:??:??]' END"
+    return f"""WITH RECURSIVE {SQL}, {_READ}, {_satellite("fix", 4, 4, 0)},
+pre AS (SELECT * REPLACE (coalesce(reason, {_speed(200.0)}) AS reason) FROM sat),
+live AS (SELECT * EXCLUDE (n, reason), row_number() OVER (PARTITION BY track_id ORDER BY rec_idx) AS n FROM pre WHERE reason IS NULL),
+{_fold("live", False, True, False)},
+done AS (SELECT pre.* REPLACE (coalesce(pre.reason, gated.reason) AS reason), pre.speed_kmh < 3.0 AS stopped FROM pre LEFT JOIN gated USING (track_id, rec_idx))
+SELECT track_id, rec_idx * 3 + 2 AS rec_idx, CASE WHEN reason IS NULL THEN {_point_sql().replace(_TAG, tag)} ELSE {tag} || ' Point rejected: ' || reason END AS text FROM done"""
+
+
 def _rounded(columns: tuple[str, ...]) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
@@ -330,6 +353,9 @@ def oracle_sql() -> dict[str, str]:
         "knots": f"{tv} {key}, round(speed_kmh * 1.852, 6) AS kmh FROM tv",
         "coord_convert": f"""{tv} {key}, printf('%02d%02d.%04d', m // 600000, m % 600000 // 10000, m % 10000) AS text,
           round((m // 600000 + (m % 600000) / 10000.0 / 60.0) * CASE WHEN rec_idx % 2 = 0 THEN 1 ELSE -1 END, 6) AS degrees FROM (SELECT *, round(lat * 600000)::BIGINT AS m FROM tv)""",
+        "checksum": f"""{tv}, {_SENTENCES} SELECT track_id, rec_idx * 3 + which AS rec_idx,
+          list_reduce(list_transform(range(1, length(b) + 1), lambda i: ascii(substr(b, i::BIGINT, 1))), lambda a, c: xor(a, c))::INTEGER AS checksum, true AS valid FROM body""",
+        "file_chain": _file_chain(),
         "nmea_pairing": f"{tv} {fixes}",
         "nmea_pairing_join": f"{tv} {fixes}",
         "gsv_attach": f"""{tv} {key}, i::INTEGER AS prn, (k * i % 90)::INTEGER AS elevation, (k * 37 * i % 360)::INTEGER AS azimuth, snr[i] AS snr
