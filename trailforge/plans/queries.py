@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Filters, Height, Jump, JumpSuppress, LowPass, Parking, Quality, Satellite, Speed, Stop
-from ..functions import geo, nmea
-from ..functions.bind import bind
-from ..functions.text import fixed
+from ..functions import geo, nmea, sentence
 from ..operators import gates as g
 from ..operators import stages as s
 from ..operators.design import low_pass
@@ -100,23 +100,30 @@ def coord_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("track_id", "rec_idx", "text", F.round(nmea.coordinate(F.col("text"), way), 6).alias("degrees"))
 
 
-def with_sum(body: Column) -> Column:
-    """A sentence with its check sum."""
-    return bind(F.concat(F.lit("$"), body, F.lit("*")), lambda x: F.concat(x, F.lpad(F.hex(nmea.checksum(x)), 2, "0")))
+def with_sums(bodies: DataFrame) -> DataFrame:
+    """bodies (last column line) as sentences with their check sums."""
+    names = bodies.columns
+
+    def run(batches):
+        for batch in batches:
+            lines = [f"${b}*{sentence.checksum(f'${b}*'):02X}" for b in batch.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lines, pa.string())], names=names)
+
+    return bodies.mapInArrow(run, bodies.schema)
 
 
 def nmea_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view as sentences: GSV, RMC and GGA for each record; file_idx is the record's own track."""
+    """The view as sentences: GSV, RMC and GGA for each record."""
     v = track_view(spark, sf_dir)
     view = F.col("satellites_in_view")
     one = lambda x: F.concat_ws(",", x["prn"], x["elevation"], x["azimuth"], x["snr"])
+    text = lambda c, k: F.col(c).cast(f"decimal(18,{k})").cast("string")
     lat, lon = F.concat(_minutes(F.col("lat"), 2), F.lit(",N")), F.concat(_minutes(F.col("lon"), 3), F.lit(",E"))
     gsv = F.concat(F.lit("GPGSV,1,1,"), F.size(view), F.when(F.size(view) > 0, ",").otherwise(""), F.array_join(F.transform(view, one), ","))
-    rmc = F.concat_ws(",", F.lit("GPRMC"), F.col("rec_idx"), F.lit("A"), lat, lon, fixed(F.col("speed_kmh"), 2), fixed(F.col("course"), 1), F.lit("010124,,,A"))
-    gga = F.concat_ws(",", F.lit("GPGGA"), F.col("rec_idx"), lat, lon, F.lit("1"), F.col("satellites"), fixed(F.col("hdop"), 1), fixed(F.col("altitude"), 2), F.lit("M,14.0,M,,"))
-    every = F.posexplode(F.array(*map(with_sum, (gsv, rmc, gga)))).alias("at", "line")
-    lines = v.select("track_id", "file_idx", "rec_idx", every)
-    return lines.select("track_id", "file_idx", (F.col("rec_idx") * 3 + F.col("at")).alias("rec_idx"), "line")
+    rmc = F.concat_ws(",", F.lit("GPRMC"), F.col("rec_idx"), F.lit("A"), lat, lon, text("speed_kmh", 2), text("course", 1), F.lit("010124,,,A"))
+    gga = F.concat_ws(",", F.lit("GPGGA"), F.col("rec_idx"), lat, lon, F.lit("1"), F.col("satellites"), text("hdop", 1), text("altitude", 2), F.lit("M,14.0,M,,"))
+    lines = v.select("track_id", "file_idx", "rec_idx", F.posexplode(F.array(gsv, rmc, gga)).alias("at", "line"))
+    return with_sums(lines.select("track_id", "file_idx", (F.col("rec_idx") * 3 + F.col("at")).alias("rec_idx"), "line"))
 
 
 def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,25 +153,24 @@ def gsv_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("track_id", F.floor(F.col("rec_idx") / 3).alias("rec_idx"), v).select("track_id", "rec_idx", "v.*")
 
 
-def _little(n: Column, size: int) -> Column:
-    """n as little-endian hexadecimal text."""
-    text = F.lpad(F.hex(n.cast("long") if size == 8 else F.when(n < 0, n + (1 << 8 * size)).otherwise(n).cast("long")), 2 * size, "0")
-    return F.concat(*(F.substring(text, 2 * k + 1, 2) for k in reversed(range(size))))
-
-
 def binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as packed records; every seventh has no fix of its own."""
-    v, n = track_view(spark, sf_dir), F.col("rec_idx")
-    status = F.when(n % 7 == 0, F.element_at(F.array(*map(F.lit, (1, 2, 3, 255))), (n % 4 + 1).cast("int"))).otherwise(0)
-    near = lambda c, k: F.round(F.col(c) * k).cast("long")
-    signal = lambda i: _little((n + i * 7) % 128 + (i % 2) * 128, 1)
-    parts = [
-        F.repeat(F.lit("0"), 16), _little(n + 1_700_000_000, 8), _little(status, 1), _little(near("lat", 1e6) * F.when(n % 2 == 0, -1).otherwise(1), 4),
-        _little(-near("lon", 1e6), 4), _little(near("altitude", 1) - 100, 2), _little(near("speed_kmh", 10), 2), _little(near("course", 10), 2),
-        _little(near("hdop", 10), 1), F.lit("0A"), _little(F.col("satellites"), 1), F.repeat(F.lit("0"), 132),
-        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(95)), signal), ""),
-    ]
-    return v.select("track_id", "file_idx", "rec_idx", F.unhex(F.concat(*parts)).alias("rec"))
+    v = track_view(spark, sf_dir).select("track_id", "file_idx", "rec_idx", "lat", "lon", "altitude", "speed_kmh", "course", "hdop", "satellites")
+
+    def run(batches):
+        for batch in batches:
+            col = lambda c, batch=batch: batch.column(c).to_numpy(zero_copy_only=False)
+            near = lambda c, k: np.floor(col(c) * k + 0.5)  # noqa: B023, E731
+            n = col("rec_idx")
+            r = np.zeros(len(n), binary.PACKED)
+            r["datetime"], r["pdop"], r["sat_count"] = n + 1_700_000_000, 10, col("satellites")
+            r["nav_status"] = np.where(n % 7 == 0, np.array([1, 2, 3, 255])[n % 4], 0)
+            r["latitude"], r["longitude"] = near("lat", 1e6) * np.where(n % 2 == 0, -1, 1), -near("lon", 1e6)
+            r["height"], r["speed"], r["course"], r["hdop"] = near("altitude", 1) - 100, near("speed_kmh", 10), near("course", 10), near("hdop", 10)
+            r["signal"] = (n[:, None] + np.arange(96) * 7) % 128 + np.arange(96) % 2 * 128
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in r], pa.binary())], names=["track_id", "file_idx", "rec_idx", "rec"])
+
+    return v.mapInArrow(run, "track_id string, file_idx int, rec_idx long, rec binary")
 
 
 def binary_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
