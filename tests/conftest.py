@@ -1,6 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import SparkSession
 
+# Python workers import this repository's modules, wherever the tests are started.
+os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
