@@ -73,6 +73,14 @@ def test_fields(spark, tmp_path):
     assert r.lat == 0.0
 
 
+def test_bytes_that_are_no_text(spark, tmp_path):
+    body = b"GPRMC,120000,A,5545.1234,N,03739.5678,E,025.0,045.0,270124,\xff\xfe,,A"
+    odd = b"$" + body + b"*%02X" % __import__("functools").reduce(int.__xor__, body)
+    (tmp_path / "0.nmea").write_bytes(b"\xff\n# \xd0\n" + odd + b"\n" + gga().encode() + b"\n$GPRMC,\xff12345\xff,*00\n")
+    rows = read_files(spark, [str(tmp_path / "0.nmea")]).orderBy("rec_idx").collect()
+    assert [(r.rec_idx, r.time, r.error) for r in rows] == [(3, "120000", None), (4, None, "[?1:23:45] Parse error: invalid checksum")]
+
+
 def test_satellites_in_view(spark, tmp_path):
     a = "$GPGSV,2,1,05,07,84,069,43,17,49,161,43,15,47,270,43,18,36,314,44*79"
     b = "$GPGSV,2,2,05,08,20,296,37*4F"
@@ -131,6 +139,20 @@ def test_files_make_one_track(spark, tmp_path):
     assert read_path(spark, str(tmp_path / "none")).count() == 0 and written(spark, config.with_path(config.Config(), str(tmp_path / "none"))) == ""
 
 
+def test_any_store_and_odd_names(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for name in ("d1/a b.bin", "d1/[x]{1}.bin", "d2/q?.nmea", "d2/sub/z.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(record() if name.endswith("bin") else "\n".join([rmc(), gga()]).encode())
+    local, store = read_path(spark, str(tmp_path), recursive=True), read_path(spark, f"file://{tmp_path}", recursive=True)
+    key = lambda df: sorted((r.file_idx, r.rec_idx, r.time) for r in df.collect())
+    assert key(local) == key(store) == [(0, 0, "120000"), (1, 0, "120000"), (2, 1, "120000"), (3, 0, "120000")]
+    assert read_path(spark, f"file://{tmp_path}/none").count() == 0 and len(list_files(f"file://{tmp_path}/d2", False, spark)) == 1
+    tracks = read_path(spark, str(tmp_path), recursive=True, track_id=F.regexp_extract("path", "/(d[0-9])/", 1))
+    assert {(r.track_id, r["count"]) for r in tracks.groupBy("track_id").count().collect()} == {("d1", 2), ("d2", 2)}
+
+
 def test_rotation(tmp_path):
     path = str(tmp_path / "x.log")
     log = RotatingLog(path, 1, 2)
