@@ -90,6 +90,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _TOKEN = re.compile(r"[^\s]+")
 _EDGE = ".,;:!?\"'()[]{}<>"
 _KEY = re.compile(r"passw(?:or)?d|pwd|secret|token|api[_-]?key|apikey|bearer", re.I)
+#: A key word and the sign that gives it a value; credentials are what no prose is about when a sign follows.
+_GIVEN = re.compile(r"(?:(passw(?:or)?d|pwd|api[_-]?key|apikey)|secret|token|bearer)(?:[_-]\w+|s)?[\"')\]]*(?:\s+is)?\s*([=:])[=>]?\s*[\"'(\[]*$", re.I)
 _CALL = re.compile(r"call|phone|tel|fax|mobile|cell|dial", re.I)
 _MAIL = re.compile(r"mail|contact|write|reach", re.I)
 _PAY = re.compile(r"card|visa|pay|account|credit", re.I)
@@ -124,6 +126,10 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _before(text: str, tokens: list[tuple[int, int]], i: int) -> str:
+    return text[tokens[max(0, i - CONTEXT)][0] : tokens[i][0]][-60:]
+
+
 def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str]:
     """Of the whole span of tokens i to j - 1."""
     s = text[tokens[i][0] : tokens[j - 1][1]]
@@ -138,17 +144,25 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
         out.append("at")
     if 13 <= len(d) <= 19 and not letters:
         out.append("luhn" if luhn(d) else "no_luhn")
-    before = text[max(0, tokens[max(0, i - CONTEXT)][0]) : tokens[i][0]][-60:]
+    word = s.isalpha() and len(s) <= 15 and (s.islower() or s.istitle() or s.isupper())
+    before = _before(text, tokens, i)
+    if m := _GIVEN.search(before):
+        out.append("given_" + "word_" * word + ("named" if m[1] else "key") + m[2])
+    elif word:
+        out.append("word")
     out += [f"before_{n}" for n, p in (("key", _KEY), ("call", _CALL), ("mail", _MAIL), ("pay", _PAY), ("host", _HOST)) if p.search(before)]
     return out
 
 
 def _possible(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> bool:
-    """A span may be an entity only if it has four digits, an @ or its spelling, or is one opaque token, and stays on one line."""
+    """A span may be an entity only if it has four digits, an @ or its spelling, or is one token that is opaque or follows a
+    key word, and stays on one line."""
     s = text[tokens[i][0] : tokens[j - 1][1]]
     if len(s) > 120 or "\n" in s:
         return False
-    return sum(map(str.isdigit, s)) >= 4 or "@" in s or (j - i > 2 and re.search(r"\bat\b", s, re.I) is not None)
+    if sum(map(str.isdigit, s)) >= 4 or "@" in s or (j - i > 2 and re.search(r"\bat\b", s, re.I) is not None):
+        return True
+    return j - i == 1 and any(map(str.isalnum, s)) and (_SHAPED["opaque"].fullmatch(s) is not None or _KEY.search(_before(text, tokens, i)) is not None)
 
 
 def _lattice(text: str, tokens: list[tuple[int, int]]) -> dict[int, list[tuple[int, list[str]]]]:
@@ -242,14 +256,27 @@ def _line(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         u, d = rng.choice((word(), f"{word()}.{num(2)}")), f"mail{num(1)}.example" if rng.random() < 0.3 else word()
         return rng.choice((f"{u}@{d}.com", f"{u}@{d}.org", f"{u} at {d} dot com", f"{u} (at) {d} (dot) org", f"{u} [at] {d} [dot] net"))
 
+    def drawn(n: int) -> str:
+        return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+    def chosen() -> str:
+        """What people choose: up to three digits and often no more than a word."""
+        return rng.choice((f"{word()}-{word()}", f"{word()}{num(rng.randint(1, 3))}", f"{word().title()}_{num(2)}", f"{word()}#{word()}{num(1)}", f"{word()}.{word()}", word(), word(), drawn(8)))
+
+    def told() -> str:
+        """Prose about key words: no value follows."""
+        key = rng.choice(("password", "secret", "token", "bearer", "passwords", "secretary", "tokens", "api key"))
+        prose = rng.choice(("secret", "token", "Secret", "Token", "bearer", "tokens"))
+        return rng.choice((f"{key} {word()} {word()}", f"{key} {word()}", f"{key} {word()}-{word()}", f"{key}, {word()} {num(1)}", f"{prose}: {word()} {word()}", f"{prose}: {word().title()}", f"{key} {num(1)} {word()}"))
+
     makers = {
         "email": (mail, ("", "mail", "contact", "reach me:", "write to")),
         "ip": (lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), ("", "host", "server", "from")),
         "card": (card, ("", "card", "visa", "pay with")),
         "phone": (phone, ("", "call", "phone:", "tel", "dial")),
-        "secret": (lambda: rng.choice(("".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((16, 18, 32, 40)))), word() + num(3) + word() + num(2))), ("password=", "token = ", "api_key: ", "secret ")),
+        "secret": (lambda: rng.choice(("".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((16, 18, 32, 40)))), word() + num(3) + word() + num(2), drawn(rng.randint(16, 40)), drawn(20).upper())), ("password=", "token = ", "api_key: ", "secret ", "Bearer ", '"token": ', "pwd=", "client_secret=")),
     }
-    near = (lambda: num(rng.choice((4, 4, 5, 6, 12))), lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{num(1)}.{num(2)}", lambda: f"{rng.randint(1900, 2030)}", lambda: f"{num(2)}:{num(2)}", lambda: f"{word()} at {word()}", lambda: f"v{num(1)}.{num(1)}.{num(1)}", lambda: f"{word()}{num(4)}", lambda: f"@{word()}", lambda: f"{num(3)}, {num(3)}, {num(3)}", lambda: f"{num(4)} {word()} {num(4)}", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: "".join(rng.choice("0123456789") for _ in range(16)))
+    near = (lambda: num(rng.choice((4, 4, 5, 6, 12))), lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{num(1)}.{num(2)}", lambda: f"{rng.randint(1900, 2030)}", lambda: f"{num(2)}:{num(2)}", lambda: f"{word()} at {word()}", lambda: f"v{num(1)}.{num(1)}.{num(1)}", lambda: f"{word()}{num(4)}", lambda: f"@{word()}", lambda: f"{num(3)}, {num(3)}, {num(3)}", lambda: f"{num(4)} {word()} {num(4)}", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: "".join(rng.choice("0123456789") for _ in range(16)), lambda: f"{word()}-{num(2)}-{word()}", lambda: f"{word()}/{word()}{num(1)}", told, told, told, told)
     text, gold = "", []
     for _ in range(rng.randint(1, 3)):
         text += "".join(word() + " " for _ in range(rng.randint(1, 4)))
@@ -258,7 +285,10 @@ def _line(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             continue
         kind = rng.choice(KINDS)
         make, cues = makers[kind]
-        cue, s = rng.choice(cues), make()
+        cue = rng.choice(cues)
+        if kind == "secret" and rng.random() < 0.4:
+            cue, make = rng.choice(("password=", "password: ", "passwd = ", "pwd: ", "api_key=", "token=", "secret=", '"password": ')), chosen
+        s = make()
         text += cue + (" " if cue and cue[-1] not in "= " else "")
         quoted = kind == "secret" and rng.random() < 0.4
         text += '"' * quoted
