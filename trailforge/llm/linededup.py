@@ -1,8 +1,9 @@
 r"""Line dedup: later copies of repeated runs of lines are deleted.
 
 Lines are what stands between \n. A run is consecutive lines of one document; it repeats if the same lines stand
-elsewhere, in another document or in the same. Every line of a run of `min_words` words or more that has an earlier copy
-(by doc_id, then text hash, then line) is deleted; the first copy of any run stays, so no content is lost.
+elsewhere, in another document or in the same. From every line the shortest run of `min_words` words or more is taken; if
+it has an earlier copy (by doc_id, then text hash, then line), all its lines are deleted. The first copy of any run stays, so
+no content is lost. The last lines of a longer repeated passage stay where no such run reaches them.
 
 Method, with DataFrame operations alone. Lines that occur once can't be in a repeated run, so only islands of consecutive
 lines that occur twice or more are sorted. Suffixes of islands get ranks by prefix doubling: rank k of a position is
@@ -10,8 +11,8 @@ the number of suffixes whose first 2^k lines sort before its own; rank k + 1 com
 position and 2^k lines further. Equal ranks are intervals of the suffix array with a common prefix of 2^k lines
 or more. The shortest run of enough words at a position has l lines, 2^k <= l < 2^(k+1); its interval (common prefix of
 l lines or more) is the positions equal in rank k at both ends of the run. All but the first of an interval are later
-copies; overlapping runs unite to the maximal ones, so sorting ends at the depth where no run is shorter than
-the words ask for. Positions alone in their rank, or with too few lines left in the island, leave early.
+copies; overlapping runs unite. Sorting ends at the depth that the longest of these runs asks for, so common prefixes beyond
+it, and with them the ends of maximal runs, are not known. Positions alone in their rank, or with too few lines left in the island, leave early.
 
 Ranks are prefix sums of pre-aggregated counts, split by hash or by rank ranges, so neither a hot line nor a hot pair
 meets in one task. Every round is a table in the shared folder.
