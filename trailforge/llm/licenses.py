@@ -1,7 +1,8 @@
 r"""License scans: base phrases, and an exact set-similarity join of text blocks with license templates.
 
 A block is a line of a text, as the set of its words; a template is the set of its words. A block meets a template if it
-contains at least `threshold` of the template's words. Tokens outside all templates can't count, so blocks
+contains at least `threshold` of the template's words, so a notice wrapped over lines is met only if one line holds that
+many. Tokens outside all templates can't count, so blocks
 keep template tokens alone. Tokens are ordered by their frequency over all blocks, rarest first. With c = ceil(threshold
 * |T|), a block that meets T shares a token of T's first |T| - c + 1 tokens, and that token is among the block's own first
 |B| - c + 1 (prefix filter); |B| >= c (length filter); and the tokens from the first shared one on must suffice
