@@ -10,16 +10,14 @@ from hypothesis import strategies as st
 from trailforge.llm import packing, wavelet
 from trailforge.llm.tokens import default_tokenizer, encoder
 
-TEXTS = [None, "", " ", "a  b\n\n c\t", "It's 3.14 done.\nNext, line", "<|endoftext|> x", "é ü 　x\x1cy\x85z", "word " * 5000, "x" * 9000, "a\r\nb \r c"]
+TEXTS = [None, "", " ", "a  b\n\n c\t", "It's 3.14 done.\nNext, line", "<|endoftext|> x", "a <|endoftext|>\n\n<|endoftext|>b <|endoftext",  "é ü 　x\x1cy\x85z", "word " * 5000, "x" * 9000, "a\r\nb \r c"]
 
 
 @cache
 def plain():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_tokenizer())
 
 
 def ids_of(text, end):
@@ -33,11 +31,23 @@ def test_chunks_give_the_whole_texts_ids(text):
 
 
 @settings(max_examples=500, deadline=None)
-@given(st.lists(st.sampled_from([" the", "the", "\n", " ", ".", ",", "!!", "é", "ü", "β", "²", "5", "_", "'s", "Straße", " x", "\t", "́", "中", "|", "'"]), max_size=12).map("".join))
+@given(st.lists(st.sampled_from([" the", "the", "\n", " ", ".", ",", "!!", "é", "ü", "β", "²", "5", "_", "'s", "Straße", " x", "\t", "́", "中", "|", "'", "<|endoftext|>"]), max_size=12).map("".join))
 def test_words_give_the_whole_texts_ids(text):
     assert encoder(default_tokenizer()).encode(text) == array("I", plain().encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def test_special_strings_and_other_tokenizers():
+    import public_tokenizers
+
+    enc = encoder(default_tokenizer())
+    assert np.frombuffer(enc.encode("<|endoftext|> x"), "<u4").tolist() == [50256, 2124]
+    other = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    for text in ("It's 3.14 Done.", "a<|endoftext|>b  c"):
+        assert np.frombuffer(encoder(other).encode(text), "<u4").tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 1), (513, 2), (5000, 50_257), (2048, 70_000)):

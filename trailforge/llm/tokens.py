@@ -1,8 +1,14 @@
-"""Whole-text encoding with a byte-level BPE of the tokenizers library, by chunk with a bounded memo."""
+"""Whole-text encoding as the tokenizers library does it, by chunk with a bounded memo where the tokenizer allows that.
+
+The result is that of Tokenizer.encode(text, add_special_tokens=False): the string of a special token in a text is that
+token's id. A text with such a string, and any text for a tokenizer of another kind than plain byte-level BPE, goes
+through the library in one piece.
+"""
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from array import array
@@ -30,6 +36,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _by_chunk(made: dict) -> bool:
+    """Whether a tokenizer (as its own JSON) splits texts by the byte-level pattern that chunks are cut for, and has no more steps."""
+    model, split = made["model"], made["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return plain and not any(made[k] for k in ("normalizer", "truncation", "padding")) and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
+
+
 class Encoder(dict):
     """Memo of chunk -> its ids as bytes of little-endian unsigned 32-bit integers."""
 
@@ -39,7 +52,9 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        made = json.loads(self.tokenizer.to_str())
+        self.by_chunk = _by_chunk(made)
+        self.added = [t["content"] for t in made["added_tokens"]]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -58,7 +73,7 @@ class Encoder(dict):
         """The ids of a whole text."""
         if not text:
             return b""
-        if _ODD.search(text):
+        if not self.by_chunk or _ODD.search(text) or any(x in text for x in self.added):
             return self.whole(text)
         if len(self) > MEMO:
             self.clear()
