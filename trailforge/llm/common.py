@@ -14,17 +14,29 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own,
-    or (only where neither is set, as in tests) a new temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own. Where neither is set, a local
+    master gets a new temporary folder, as in tests; a cluster has no folder that all of it sees, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trailforge-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system and path as Hadoop has them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has yet; what stands there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    fs, at = _place(spark, path)
+    fs.deleteOnExit(at)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -36,12 +48,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a table that materialize() wrote, through Hadoop's file system."""
+    """Deletes a table that materialize() wrote."""
     path = df.schema.fields[0].metadata.get("path")
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        fs, at = _place(df.sparkSession, path)
+        fs.delete(at, True)
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """Every column by its own name, whatever characters that has."""
+    return [named(c) for c in df.columns]
+
+
+def named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,17 +85,19 @@ def with_columns(df: DataFrame, fn: Callable[..., list], inputs: list[str], fiel
 
     fn takes one Arrow array per input and returns one list or array per field. New names must not be in df.
     """
-    schema = T.StructType([*df.schema.fields, *fields])
+    names = [*df.columns, *(f.name for f in fields)]
+    flat = [f"c{k}" for k in range(len(names))]  # columns may have names that Spark would read as paths
+    schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(flat, [*df.schema.fields, *fields], strict=True)])
     kinds = [f.type for f in to_arrow_schema(T.StructType(fields))]
-    names = schema.names
+    at = [df.columns.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = fn(*(batch.column(c) for c in inputs))
+            made = fn(*(batch.column(k) for k in at))
             made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, k) for x, k in zip(made, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=flat)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*flat[: len(df.columns)]).mapInArrow(run, schema).toDF(*names)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -25,7 +25,7 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
-from .common import field, with_columns
+from .common import field, fresh, named, with_columns
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -407,6 +407,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     def run(texts):
         return [[t if t is None else redact(t, find(t, w)[1]) for t in texts.to_pylist()]]
 
-    out = with_columns(docs, run, ["text"], [field("__redacted", "string")])
-    changed = {"text": F.col("__redacted"), "n_chars": F.length("__redacted").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+    (name,) = fresh(docs, "redacted")
+    out = with_columns(docs, run, ["text"], [field(name, "string")])
+    changed = {"text": named(name), "n_chars": F.length(named(name)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*(changed[c].alias(c) if c in changed else named(c) for c in docs.columns))

@@ -17,7 +17,7 @@ from itertools import compress
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, materialize, with_columns
+from .common import field, materialize, named, with_columns
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -54,27 +54,31 @@ def repeated_words(words: list[bytes]) -> int:
     return sum(flags)
 
 
-def with_counts(docs: DataFrame, prefix: str = "") -> DataFrame:
-    return with_columns(docs, lambda texts: list(zip(*map(measure, texts.to_pylist()), strict=True)) or [[]] * 6, ["text"], [field(prefix + c, "long") for c in COUNTS])
+def with_counts(docs: DataFrame) -> DataFrame:
+    return with_columns(docs, lambda texts: list(zip(*map(measure, texts.to_pylist()), strict=True)) or [[]] * 6, ["text"], [field(c, "long") for c in COUNTS])
 
 
-def _failures(p: str, share: float) -> F.Column:
+def _failures(share: float) -> F.Column:
     """Fails a rule, with the limits that base rules do not fix times share."""
-    n, lines = F.col(p + "n_words"), F.col(p + "n_lines")
+    n, lines = F.col("n_words"), F.col("n_lines")
     return (
-        (100 * F.col(p + "n_repeat_words") > int(50 * share) * n)
-        | (100 * F.col(p + "n_symbols") > int(10 * share) * n)
-        | (100 * F.col(p + "n_dup_lines") > int(30 * share) * lines)
+        (100 * F.col("n_repeat_words") > int(50 * share) * n)
+        | (100 * F.col("n_symbols") > int(10 * share) * n)
+        | (100 * F.col("n_dup_lines") > int(30 * share) * lines)
     )
 
 
-def base_failed(p: str = "") -> F.Column:
-    return (F.col(p + "n_words") < 50) | (100 * F.col(p + "n_repeat_words") > 50 * F.col(p + "n_words"))
+def base_failed() -> F.Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def host_rates(counts: DataFrame) -> DataFrame:
-    """host, n, failed, rate: per host the shrunk rate of documents that fail a rule."""
-    hosts = counts.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n"), F.sum((base_failed() | _failures("", 1)).cast("long")).alias("failed"))
+def _fails() -> F.Column:
+    return base_failed() | _failures(1)
+
+
+def host_rates(judged: DataFrame) -> DataFrame:
+    """host, n, failed, rate: per host the shrunk rate of documents that fail a rule (columns source and fails)."""
+    hosts = judged.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("fails").cast("long")).alias("failed"))
     hosts = materialize(hosts, "hosts")
     raw = F.col("failed") / F.col("n")
     one = hosts.agg(F.count("*").alias("k"), F.avg(raw).alias("m"), F.var_samp(raw).alias("v")).first()
@@ -90,23 +94,29 @@ def beta_prior(k: int, mean: float | None, var: float | None) -> tuple[float, fl
     return mean * s, (1 - mean) * s
 
 
-def _with_verdict(counts: DataFrame, hosts: DataFrame, p: str, max_rate: float) -> DataFrame:
-    """counts and kept. Strict hosts are joined: broadcast where they are counted and few, else by shuffle."""
-    strict = hosts.where(F.col("rate") > max_rate).select(F.col("host").alias("__host"))
+def _with_strict(judged: DataFrame, max_rate: float) -> DataFrame:
+    """judged (columns source, fails and others) and strict: whether the host's rate is above max_rate. Strict hosts are
+    joined: broadcast where they are counted and few, else by shuffle."""
+    strict = host_rates(judged).where(F.col("rate") > max_rate).select("host", F.lit(True).alias("strict"))
     few = strict.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = counts.join(F.broadcast(strict.withColumn("__strict", F.lit(True))) if few else strict.withColumn("__strict", F.lit(True)), F.col("source").eqNullSafe(F.col("__host")), "left")
-    failed = F.when(F.col("__strict"), _failures(p, 0.5)).otherwise(_failures(p, 1))
-    return joined.withColumn(p + "base_failed", base_failed(p)).withColumn(p + "kept", ~(base_failed(p) | failed)).drop("__host", "__strict")
+    joined = judged.join(F.broadcast(strict) if few else strict, F.col("source").eqNullSafe(F.col("host")), "left")
+    return joined.withColumn("strict", F.coalesce("strict", F.lit(False))).drop("host")
 
 
 def quality_rules(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """doc_id, source, COUNTS, base_failed and kept of every document."""
-    counts = materialize(with_counts(docs.select("doc_id", "source", "text")).drop("text"), "quality")
-    return _with_verdict(counts, host_rates(counts), "", max_rate)
+    """doc_id, COUNTS but n_lines, base_failed, kept, n_lines and source of every document."""
+    counts = with_counts(docs.select("doc_id", "source", "text")).drop("text").withColumn("fails", _fails())
+    judged = _with_strict(materialize(counts, "quality"), max_rate)
+    kept = ~(F.col("fails") | F.col("strict") & _failures(0.5))
+    return judged.select("doc_id", *(c for c in COUNTS if c != "n_lines"), base_failed().alias("base_failed"), kept.alias("kept"), "n_lines", "source")
 
 
 def filter_documents(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """The documents that quality_rules keeps, with all their columns."""
-    counts = materialize(with_counts(docs.select("source", "text")).drop("text"), "quality")
-    judged = _with_verdict(with_counts(docs, "__q_"), host_rates(counts), "__q_", max_rate)
-    return judged.where("__q_kept").select(*docs.columns)
+    """The documents that quality_rules keeps, with all their columns. Texts are counted once: the table written meanwhile has
+    the texts of documents that fail no rule, and of the others only what host rates need."""
+    held = docs.select("source", "text", F.struct(*(named(c) for c in docs.columns if c != "text")).alias("rest"))
+    counted = with_counts(held).withColumn("fails", _fails()).withColumn("close", _failures(0.5)).drop(*COUNTS)
+    stays = ~F.col("fails")
+    table = counted.select("source", "fails", "close", F.when(stays, F.col("text")).alias("text"), F.when(stays, F.col("rest")).alias("rest"))
+    judged = _with_strict(materialize(table, "quality"), max_rate).where("not fails and not (strict and close)")
+    return judged.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
