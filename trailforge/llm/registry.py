@@ -93,7 +93,8 @@ OP5_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(range(len(s))) AS ln, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
 w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
 c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY ln) AS upto FROM w),
-e AS (SELECT a.doc_id, a.ln, min(b.ln) AS last FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.ln >= a.ln AND b.upto - a.upto + a.words >= 50 GROUP BY a.doc_id, a.ln),
+p AS (SELECT a.doc_id, a.ln, b.ln AS last FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.ln >= a.ln AND b.upto - a.upto + a.words >= 50),
+e AS (SELECT doc_id, ln, min(last) AS last FROM p GROUP BY doc_id, ln UNION SELECT doc_id, max(ln) AS ln, last FROM p GROUP BY doc_id, last),
 r AS (SELECT e.doc_id, e.ln, e.last, string_agg(md5(x.line), ',' ORDER BY x.ln) AS run FROM e JOIN l x ON e.doc_id = x.doc_id AND x.ln BETWEEN e.ln AND e.last GROUP BY e.doc_id, e.ln, e.last),
 late AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, ln) AS k FROM r) WHERE k > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(ln, last + 1)) AS ln FROM late),
