@@ -8,8 +8,9 @@ reached with, at half the work of one; no row is known that a stride of one woul
 pooled values over all chunks go through one hidden layer into one probability. Repetition shows in the means and spreads
 (few different windows have low maxima), symbols and case in the maxima.
 
-Learned by Adam on log loss from a bounded sample of labelled rows: at most `sample` of them, by hash of doc_id, none
-held out, none longer than MAX_TRAIN characters. Scoring reads whole texts. Without labels every score is 0.5.
+Learned by Adam on log loss from a bounded sample of labelled rows: the first by hash of doc_id, none held out, at most `sample`
+of them and no more after `size` bytes of text. A row is never left out for its own length: the one that reaches
+`size` is the last. Training and scoring read whole texts. Without labels every score is 0.5.
 
 Nulls are empty texts (one chunk of zero bytes); long texts are scored in slices of chunks; repeated rows have equal
 scores; rows with a null doc_id are scored and not held out; an empty table gives an empty table. Only doc_id and text are
@@ -31,9 +32,13 @@ WIDTH = 6
 STRIDE = 2
 FILTERS = 16
 HIDDEN = 16
-#: Labelled rows that training sees at most, and their longest text.
+#: Labelled rows that training sees at most, and the bytes of text after which it takes no more rows.
 SAMPLE = 3000
-MAX_TRAIN = 100_000
+SIZE = 64 << 20
+#: Steps of training at least, for a sample of any size: twelve passes over SAMPLE rows.
+STEPS = 1128
+#: Bytes of text whose gradients are held at once; a longer text is alone.
+AT_ONCE = 4 << 20
 #: Chunks at a time.
 SLICE = 512
 CUT = 0.7
@@ -97,8 +102,9 @@ class Network:
         m = np.maximum(pooled(chunks_of(text), self.p["tables"]) + self.p["bias"], 0)
         return float(1 / (1 + np.exp(-np.float64(self.head(m, np.zeros(1, np.int64))[3][0]))))
 
-    def gradients(self, rows: np.ndarray, starts: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        p, g = self.p, {}
+    def gradients(self, rows: np.ndarray, starts: np.ndarray, y: np.ndarray, of: int | None = None) -> tuple[float, dict]:
+        """Mean loss of documents and its gradients; as a share of a batch of `of` documents, where given."""
+        p, g, batch = self.p, {}, of or len(y)
         raw, at = [], []
         for k in range(0, len(rows), SLICE):
             out = convolve(rows[k : k + SLICE], p["tables"])
@@ -109,17 +115,17 @@ class Network:
         m = np.maximum(raw, 0)
         (mean, top, spread, n), x, h, z = self.head(m, starts)
         q = 1 / (1 + np.exp(-z))
-        loss = float(-np.mean(y * np.log(q + 1e-9) + (1 - y) * np.log(1 - q + 1e-9)))
-        dz = ((q - y) / len(y)).astype(np.float32)
+        loss = float(-np.sum(y * np.log(q + 1e-9) + (1 - y) * np.log(1 - q + 1e-9))) / batch
+        dz = ((q - y) / batch).astype(np.float32)
         g["w2"], g["b2"] = (dz[:, None] * h).sum(axis=0), dz.sum(keepdims=True)
         dh = dz[:, None] * p["w2"] * (1 - h * h)
         g["w1"], g["b1"] = np.einsum("bi,bj->ij", x, dh), dh.sum(axis=0)
         dx = (dh @ p["w1"].T) / self.scale
-        of = np.repeat(np.arange(len(starts)), n[:, 0])
+        doc = np.repeat(np.arange(len(starts)), n[:, 0])
         d_mean, d_top, d_spread = dx[:, :FILTERS], dx[:, FILTERS : 2 * FILTERS], dx[:, 2 * FILTERS :]
-        dm = (d_mean / n)[of] + (d_spread / (spread * n))[of] * (m - mean[of])
-        first = m == top[of]
-        dm += d_top[of] * first / np.add.reduceat(first, starts)[of]
+        dm = (d_mean / n)[doc] + (d_spread / (spread * n))[doc] * (m - mean[doc])
+        first = m == top[doc]
+        dm += d_top[doc] * first / np.add.reduceat(first, starts)[doc]
         dm = np.where(raw > 0, dm, 0).astype(np.float32)
         g["bias"] = dm.sum(axis=0)
         g["tables"] = np.empty_like(p["tables"])
@@ -130,10 +136,18 @@ class Network:
         return loss, g
 
 
-def train(texts: list[str | None], labels: list[int], passes: int = 12, batch: int = 32, rate: float = 3e-3, decay: float = 1e-4, seed: int = 3) -> Network | None:
-    """A network fitted to labels 0 and 1; None without rows."""
+def _at_once(pick: np.ndarray, docs: list[np.ndarray]) -> list[np.ndarray]:
+    """pick in parts of AT_ONCE bytes or one document."""
+    sizes = np.cumsum([len(docs[i]) * CHUNK for i in pick])
+    cuts = np.flatnonzero(np.diff(sizes // AT_ONCE)) + 1
+    return np.split(pick, cuts)
+
+
+def train(texts: list[str | None], labels: list[int], passes: int | None = None, batch: int = 32, rate: float = 3e-3, decay: float = 1e-4, seed: int = 3) -> Network | None:
+    """A network fitted to labels 0 and 1 in STEPS steps or more, if no number of passes is given; None without rows."""
     if not texts:
         return None
+    passes = passes or -(-STEPS // -(-len(texts) // batch))
     net, rng = Network(seed), np.random.default_rng(seed)
     docs, y = [chunks_of(t) for t in texts], np.array(labels, np.float32)
     some = rng.permutation(len(docs))[:300]
@@ -149,9 +163,12 @@ def train(texts: list[str | None], labels: list[int], passes: int = 12, batch: i
         order = rng.permutation(len(docs))
         for k in range(0, len(order), batch):
             pick = order[k : k + batch]
-            rows = np.concatenate([docs[i] for i in pick])
-            starts = np.r_[0, np.cumsum([len(docs[i]) for i in pick])[:-1]]
-            _, g = net.gradients(rows, starts, y[pick])
+            g = {}
+            for part in _at_once(pick, docs):
+                rows = np.concatenate([docs[i] for i in part])
+                starts = np.r_[0, np.cumsum([len(docs[i]) for i in part])[:-1]]
+                for name, d in net.gradients(rows, starts, y[part], len(pick))[1].items():
+                    g[name] = g[name] + d if name in g else d
             step += 1
             now = rate * min(1.0, step / 50) * (1 - 0.9 * step / steps)
             for name, d in g.items():
@@ -167,13 +184,22 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = MAX_TRAIN) -> list[tuple[str, int]]:
-    """(text, quality) of at most sample labelled documents, smallest hashes of doc_id first, none held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SIZE) -> list[tuple[str, int]]:
+    """(text, quality) of labelled documents, smallest hashes of doc_id first, none held out: sample rows at most, and no more
+    once their texts have size bytes."""
     free = labels.where(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
     one = free.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= longest)
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", F.col("quality").cast("int")).collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    # how far the bounds reach is found without the texts
+    ends = texts.select("doc_id", F.xxhash64("text").alias("th"), "bytes").orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(sample).collect()
+    so_far, taken = 0, 0
+    for row in ends:
+        if so_far >= size:
+            break
+        so_far, taken = so_far + row.bytes, taken + 1
+    rows = texts.orderBy(*order).limit(taken).select("text", F.col("quality").cast("int")).collect() if taken else []
     return [tuple(r) for r in rows]
 
 
