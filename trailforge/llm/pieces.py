@@ -1,12 +1,13 @@
 """SentencePiece encoding with the N best segmentations, and decoding.
 
 The piece lattice of a text has a node for every position and an edge for every piece of the model that stands there,
-weighted by the model's score; a character that is no piece is an edge of byte pieces, PENALTY below the lowest score. The
+weighted by the model's score; a character that is no piece is an edge of byte pieces, PENALTY below the lowest score of a piece
+(runs of marks, which the model scores as hardly ever to be used, aside). The
 best segmentations are those with the largest sums. Forward Viterbi scores are exact bounds on what a hypothesis can
 still get, so backward A-star search pops complete segmentations in order of their scores.
 
-Pieces never have a word mark after their first character (runs of marks, which the model scores as never to be used,
-are left out) nor a line end, so the lattice falls apart before every mark and around every line end, and wherever two
+Pieces have a word mark after their first character only where they are runs of marks, and no line end, so the lattice falls
+apart before every run of marks and around every line end, and wherever two
 characters stand next to each other in no piece. A chunk between such cuts is solved once per process and remembered. The N best of the text differ from its best
 only in the N - 1 chunks whose second best costs least, so A-star runs over these, and their lists are merged in
 order of the sums.
@@ -22,6 +23,7 @@ import gc
 import re
 import zlib
 from array import array
+from bisect import insort
 from functools import cache
 from heapq import heappop, heappush
 
@@ -35,10 +37,10 @@ PENALTY = 10.0
 BEST = 4
 #: Chunks remembered by each Python worker before the memo starts anew.
 MEMO = 800_000
-_CHUNK = re.compile(rf"\n|{MARK}?[^{MARK}\n]+|{MARK}")
+_CHUNK = re.compile(rf"\n|{MARK}*+[^{MARK}\n]++|{MARK}++")
 #: Where no piece joins a Latin letter to a point or comma, words stand apart from these, too.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-_WORD = re.compile(rf"\n|{MARK}?[{_LATIN}]+(?=[.,])|{MARK}?[^{MARK}\n]+|{MARK}")
+_WORD = re.compile(rf"\n|{MARK}*+[{_LATIN}]++(?=[.,])|{MARK}*+[^{MARK}\n]++|{MARK}++")
 _JOINED = re.compile(f"[{_LATIN}][.,]")
 
 
@@ -67,13 +69,14 @@ class Lattice:
                 self.written.append(b"")
             else:
                 self.written.append(piece.replace(MARK, " ").encode())
-                if MARK not in piece[1:] and "\n" not in piece:
-                    self.scores[piece] = (m.get_score(i), i)
+                if "\n" in piece or MARK in piece[1:] and piece.strip(MARK):
+                    raise ValueError(f"piece {piece!r} would stand across the cuts between chunks")
+                self.scores[piece] = (m.get_score(i), i)
         #: A piece's score, or None for what is only the start of longer pieces.
         self.starts: dict[str, float | None] = {x[:k]: None for x in self.scores for k in range(1, len(x))}
         self.starts |= {x: s for x, (s, _) in self.scores.items()}
         self.coded = {x: i.to_bytes(4, "little") for x, (_, i) in self.scores.items()}
-        self.lowest = min(s for s, _ in self.scores.values()) - PENALTY
+        self.lowest = min(s for x, (s, _) in self.scores.items() if len(x) == 1 or x.strip(MARK)) - PENALTY
         #: Characters that stand next to each other in a piece; a lattice falls apart between any others.
         self.pairs = {x[k : k + 2] for x in self.scores for k in range(len(x) - 1)}
         self.chunk = _CHUNK if any(map(_JOINED.match, self.pairs)) else _WORD
@@ -178,13 +181,14 @@ class Lattice:
         return found
 
     def astar(self, chunk: str, count: int) -> list[tuple[float, bytes]]:
-        """The count best (score, ids) of a chunk, backward from its end; every position is left count times at most."""
+        """The count best (score, ids) of a chunk, backward from its end. Open hypotheses stand for separate segmentations and
+        their bounds are reached, so no more of them are held than segmentations are still wanted."""
         into = self.edges(chunk)
         alpha, _ = self.forward(into)
-        heap: list[tuple] = [(-alpha[-1], 0, len(chunk), 0.0, None)]
-        made, left, out = 0, [0] * len(into), []
-        while heap and len(out) < count:
-            _, _, at, so_far, path = heappop(heap)
+        opened: list[tuple] = [(-alpha[-1], 0, len(chunk), 0.0, None)]  # in the order of their bounds
+        made, out = 0, []
+        while opened and len(out) < count:
+            _, _, at, so_far, path = opened.pop(0)
             if not at:
                 cuts = [0]
                 while path:
@@ -192,12 +196,13 @@ class Lattice:
                     path = path[1]
                 out.append((so_far, self.cuts_to_ids(chunk, cuts)))
                 continue
-            if left[at] == count:
-                continue
-            left[at] += 1
+            wanted = count - len(out)
             for i, s in into[at]:
-                made += 1
-                heappush(heap, (-(so_far + s + alpha[i]), made, i, so_far + s, (at, path)))
+                bound = -(so_far + s + alpha[i])
+                if len(opened) < wanted or bound < opened[wanted - 1][0]:
+                    made += 1
+                    insort(opened, (bound, made, i, so_far + s, (at, path)))
+            del opened[wanted:]
         return out
 
     def _chunks(self, text: str) -> tuple[list[str], list[int]]:
