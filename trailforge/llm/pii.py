@@ -6,8 +6,9 @@ token, and scores whole spans: shape, digit count, check sums and the words arou
 gradient steps on the conditional log-likelihood of generated, labelled lines (fixed seed).
 
 Fixed patterns (email, ip, card, phone) always stay; the field adds spans that touch none of them, of
-the same kinds or of kind secret. A window is a maximal stretch of tokens in which every gap to the
-next token of interest (with a digit, @ or a key word) is at most CONTEXT tokens; a text without any has no window.
+the same kinds or of kind secret. A line is decoded as a whole. Spans that can't be of any kind are no candidates: one token
+without a digit, an @ or a key word in the CONTEXT tokens before it; several tokens with fewer than four digits in all,
+no @ and no "at" with a "dot" after it. Neither spans nor their context have a longest length in characters.
 Nulls are empty texts; long texts cost time in proportion; repeated rows give repeated results; an empty
 table gives an empty table; only doc_id and text are read.
 """
@@ -90,16 +91,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _TOKEN = re.compile(r"[^\s]+")
 _EDGE = ".,;:!?\"'()[]{}<>"
 _KEY = re.compile(r"passw(?:or)?d|pwd|secret|token|api[_-]?key|apikey|bearer", re.I)
-#: A key word and the sign that gives it a value; credentials are what no prose is about when a sign follows.
-_GIVEN = re.compile(r"(?:(passw(?:or)?d|pwd|api[_-]?key|apikey)|secret|token|bearer)(?:[_-]\w+|s)?[\"')\]]*(?:\s+is)?\s*([=:])[=>]?\s*[\"'(\[]*$", re.I)
+#: A name that ends in a key word; credentials are what no prose is about when a sign follows.
+_NAMED = re.compile(r"(?:(passw(?:or)?d|pwd|api[_-]?key|apikey)|secret|token|bearer)(?:[_-][\w-]*|s)?\Z", re.I)
+_SIGN = re.compile("[=:]")
 _CALL = re.compile(r"call|phone|tel|fax|mobile|cell|dial", re.I)
 _MAIL = re.compile(r"mail|contact|write|reach", re.I)
 _PAY = re.compile(r"card|visa|pay|account|credit", re.I)
 _HOST = re.compile(r"\bip\b|host|server|address|addr", re.I)
-_INTEREST = re.compile(r"[0-9@]|passw(?:or)?d|pwd|secret|token|api[_-]?key|apikey|bearer", re.I)
+_CUES = (("key", _KEY), ("call", _CALL), ("mail", _MAIL), ("pay", _PAY), ("host", _HOST))
 _SHAPED = {
     "plain_mail": re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+"),
-    "spelled_mail": re.compile(r"[\w.%+-]+ ?[\[(]?(?:at|@)[\])]? ?[\w-]+(?: ?[\[(]?(?:dot|\.)[\])]? ?[\w-]+)+", re.I),
+    "spelled_mail": re.compile(r"[\w.%+-]++(?: ?[\[(]at[\])] ?| at | ?@ ?)[\w-]++(?:(?: ?[\[(]dot[\])] ?| dot |\.)[\w-]++)+", re.I),
     "quad": re.compile(r"\d{1,3}(?:\.\d{1,3}){3}"),
     "dialled": re.compile(r"\+?[\d(][\d ().-]*\d"),
     "grouped": re.compile(r"\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}"),
@@ -111,12 +113,13 @@ _SHAPED = {
 
 
 def tokens_of(text: str) -> list[tuple[int, int]]:
-    """Tokens without the punctuation at their edges; an assignment is cut after its sign."""
+    """Tokens without the punctuation at their edges; one that assigns to a key word is cut after the sign."""
     out = []
     for m in _TOKEN.finditer(text):
         a, b = m.span()
-        cut = text.find("=", a, b)
-        for x, y in ([(a, cut), (cut + 1, b)] if a < cut < b - 1 and _KEY.search(text, a, cut) else [(a, b)]):
+        key = _KEY.search(text, a, b) if "=" in m[0] or ":" in m[0] else None
+        sign = _SIGN.search(text, key.end(), b - 1) if key else None
+        for x, y in [(a, sign.start()), (sign.end(), b)] if sign else [(a, b)]:
             while x < y and text[x] in _EDGE and text[x] != "(":
                 x += 1
             while y > x and text[y - 1] in _EDGE:
@@ -126,12 +129,31 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _before(text: str, tokens: list[tuple[int, int]], i: int) -> str:
-    return text[tokens[max(0, i - CONTEXT)][0] : tokens[i][0]][-60:]
+def _given(before: str) -> str | None:
+    """What gives the next token a value, if a key word and a sign do: "named" for names of credentials, else "key", and the sign."""
+    s = before.rstrip("\"'([").rstrip()
+    s = s[:-1] if s[-2:] in ("=>", ":>") else s
+    if not s or s[-1] not in "=:":
+        return None
+    sign, s = s[-1], s[:-1].rstrip()
+    if s[-2:].lower() == "is" and s[-3:-2].isspace():
+        s = s[:-2].rstrip()
+    s = s.rstrip("\"')]")
+    k = len(s)
+    while k and (s[k - 1].isalnum() or s[k - 1] in "_-"):
+        k -= 1
+    m = _NAMED.search(s, k)
+    return m and ("named" if m[1] else "key") + sign
 
 
-def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str]:
-    """Of the whole span of tokens i to j - 1."""
+def context(text: str, tokens: list[tuple[int, int]], i: int) -> tuple[str | None, list[str]]:
+    """Of the CONTEXT tokens before token i: what gives it a value, and the features of key words."""
+    before = text[tokens[max(0, i - CONTEXT)][0] : tokens[i][0]]
+    return _given(before), [f"before_{n}" for n, p in _CUES if p.search(before)]
+
+
+def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, near: tuple[str | None, list[str]]) -> list[str]:
+    """Of the whole span of tokens i to j - 1, near being the context of token i."""
     s = text[tokens[i][0] : tokens[j - 1][1]]
     d = _digits(s)
     out = ["bias", f"tokens{j - i}", f"digits{min(len(d), 20)}"]
@@ -145,33 +167,53 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     if 13 <= len(d) <= 19 and not letters:
         out.append("luhn" if luhn(d) else "no_luhn")
     word = s.isalpha() and len(s) <= 15 and (s.islower() or s.istitle() or s.isupper())
-    before = _before(text, tokens, i)
-    if m := _GIVEN.search(before):
-        out.append("given_" + "word_" * word + ("named" if m[1] else "key") + m[2])
+    given, cues = near
+    if given:
+        out.append("given_" + "word_" * word + given)
     elif word:
         out.append("word")
-    out += [f"before_{n}" for n, p in (("key", _KEY), ("call", _CALL), ("mail", _MAIL), ("pay", _PAY), ("host", _HOST)) if p.search(before)]
-    return out
-
-
-def _possible(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> bool:
-    """A span may be an entity only if it has four digits, an @ or its spelling, or is one token that is opaque or follows a
-    key word, and stays on one line."""
-    s = text[tokens[i][0] : tokens[j - 1][1]]
-    if len(s) > 120 or "\n" in s:
-        return False
-    if sum(map(str.isdigit, s)) >= 4 or "@" in s or (j - i > 2 and re.search(r"\bat\b", s, re.I) is not None):
-        return True
-    return j - i == 1 and any(map(str.isalnum, s)) and (_SHAPED["opaque"].fullmatch(s) is not None or _KEY.search(_before(text, tokens, i)) is not None)
+    return out + cues
+
+
+def _candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(end, start) of the spans that may be entities, sorted."""
+    digits, mail, at, dot, key = [0], [0], [0], [], -CONTEXT - 1
+    out, seeds = set(), []
+    for k, (a, b) in enumerate(tokens):
+        t = text[a:b]
+        n = sum(map(str.isdigit, t))
+        bare = t.strip("()[]").lower() if len(t) < 8 else ""
+        digits.append(digits[-1] + n)
+        mail.append(mail[-1] + ("@" in t))
+        at.append(at[-1] + (bare == "at"))
+        if bare == "dot":
+            dot.append(k)
+        if n or "@" in t:
+            seeds.append(k)
+        if (n or "@" in t or k - key <= CONTEXT) and any(map(str.isalnum, t)):
+            out.add((k + 1, k))
+        if _KEY.search(t):
+            key = k
+    for k in seeds:
+        for i in range(max(0, k - MAX_TOKENS + 1), k + 1):
+            for j in range(max(k, i + 1) + 1, min(len(tokens), i + MAX_TOKENS) + 1):
+                if digits[j] - digits[i] >= 4 or mail[j] > mail[i]:
+                    out.add((j, i))
+    for k in dot:  # spelled addresses hold "at" and "dot" and have tokens on both sides
+        for i in range(max(0, k - MAX_TOKENS + 2), k - 1):
+            if at[k] > at[i + 1]:
+                out.update((j, i) for j in range(k + 2, min(len(tokens), i + MAX_TOKENS) + 1))
+    return sorted(out)
 
 
 def _lattice(text: str, tokens: list[tuple[int, int]]) -> dict[int, list[tuple[int, list[str]]]]:
     """end -> [(start, features)] of the spans that may be entities."""
     out: dict[int, list] = defaultdict(list)
-    for j in range(1, len(tokens) + 1):
-        for i in range(max(0, j - MAX_TOKENS), j):
-            if _possible(text, tokens, i, j):
-                out[j].append((i, features(text, tokens, i, j)))
+    near: dict[int, tuple] = {}
+    for j, i in _candidates(text, tokens):
+        if i not in near:
+            near[i] = context(text, tokens, i)
+        out[j].append((i, features(text, tokens, i, j, near[i])))
     return out
 
 
@@ -259,6 +301,9 @@ def _line(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     def drawn(n: int) -> str:
         return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
 
+    def letters(n: int) -> str:
+        return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
     def chosen() -> str:
         """What people choose: up to three digits and often no more than a word."""
         return rng.choice((f"{word()}-{word()}", f"{word()}{num(rng.randint(1, 3))}", f"{word().title()}_{num(2)}", f"{word()}#{word()}{num(1)}", f"{word()}.{word()}", word(), word(), drawn(8)))
@@ -274,7 +319,7 @@ def _line(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         "ip": (lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), ("", "host", "server", "from")),
         "card": (card, ("", "card", "visa", "pay with")),
         "phone": (phone, ("", "call", "phone:", "tel", "dial")),
-        "secret": (lambda: rng.choice(("".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((16, 18, 32, 40)))), word() + num(3) + word() + num(2), drawn(rng.randint(16, 40)), drawn(20).upper())), ("password=", "token = ", "api_key: ", "secret ", "Bearer ", '"token": ', "pwd=", "client_secret=")),
+        "secret": (lambda: rng.choice(("".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((16, 18, 32, 40)))), word() + num(3) + word() + num(2), drawn(rng.randint(16, 40)), drawn(20).upper(), letters(rng.randint(12, 30)))), ("password=", "token = ", "api_key: ", "secret ", "Bearer ", '"token": ', "pwd=", "client_secret=", "token:", '"api_key":"', "Authorization: Bearer ")),
     }
     near = (lambda: num(rng.choice((4, 4, 5, 6, 12))), lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{num(1)}.{num(2)}", lambda: f"{rng.randint(1900, 2030)}", lambda: f"{num(2)}:{num(2)}", lambda: f"{word()} at {word()}", lambda: f"v{num(1)}.{num(1)}.{num(1)}", lambda: f"{word()}{num(4)}", lambda: f"@{word()}", lambda: f"{num(3)}, {num(3)}, {num(3)}", lambda: f"{num(4)} {word()} {num(4)}", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: "".join(rng.choice("0123456789") for _ in range(16)), lambda: f"{word()}-{num(2)}-{word()}", lambda: f"{word()}/{word()}{num(1)}", told, told, told, told)
     text, gold = "", []
@@ -287,9 +332,9 @@ def _line(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         make, cues = makers[kind]
         cue = rng.choice(cues)
         if kind == "secret" and rng.random() < 0.4:
-            cue, make = rng.choice(("password=", "password: ", "passwd = ", "pwd: ", "api_key=", "token=", "secret=", '"password": ')), chosen
+            cue, make = rng.choice(("password=", "password: ", "passwd = ", "pwd: ", "api_key=", "token=", "secret=", '"password": ', "password:", "pwd:")), chosen
         s = make()
-        text += cue + (" " if cue and cue[-1] not in "= " else "")
+        text += cue + (" " if cue and cue[-1] not in "= " and not cue.endswith((":", '"')) else " " if cue in ("reach me:", "phone:") else "")
         quoted = kind == "secret" and rng.random() < 0.4
         text += '"' * quoted
         gold.append((len(text), len(text) + len(s), kind))
@@ -313,42 +358,17 @@ def weights(lines: int = 600, passes: int = 6, rate: float = 0.3, decay: float =
     return dict(w)
 
 
-def windows(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """The tokens within CONTEXT of one that has a digit, an @ or a key word, or next to "at", in maximal stretches."""
-    out: list[list[tuple[int, int]]] = []
-    last = -1
-    marks = [k for k, (a, b) in enumerate(tokens) if _INTEREST.search(text, a, b)]
-    for k in marks:
-        lo, hi = max(last + 1, k - CONTEXT), min(len(tokens), k + CONTEXT + 1)
-        if out and lo <= last + 1 and last >= 0 and k - CONTEXT <= last + 1:
-            out[-1] += tokens[last + 1 : hi]
-        else:
-            out.append(tokens[lo:hi])
-        last = max(last, hi - 1)
-    return out
-
-
-_SPELLED = re.compile(r"[\[( ]at[\]) ][^\n]{1,60}?[\[( ]dot[\]) ]", re.I)
-_CUE = re.compile(r"[0-9@]|passw(?:or)?d|pwd|secret|token|api[_-]?key|apikey|bearer", re.I)
+_CUE = re.compile(r"[0-9@]|passw(?:or)?d|pwd|secret|token|api[_-]?key|apikey|bearer|(?<!\w)dot(?!\w)", re.I)
 
 
 def field_spans(text: str, w: dict) -> list[tuple[str, int, int]]:
-    """What the field finds in a text."""
-    areas: list[tuple[int, int]] = []
-    for m in re.finditer(r"[^\n]+", text):  # spans stay on a line
-        a, b = m.span()
-        if _CUE.search(text, a, b) or _SPELLED.search(text, a, b):
-            areas.append((a, b))
+    """What the field finds in a text, line by line: spans stay on a line."""
     out = []
-    for a, b in areas:
-        line = text[a:b]
-        tokens = tokens_of(line)
-        groups = windows(line, tokens)
-        for m in _SPELLED.finditer(line):
-            groups.append([t for t in tokens if m.start() - 40 <= t[0] and t[1] <= m.end() + 20])
-        for group in groups:
-            out += [(kind, a + x, a + y) for x, y, kind in decode(line, group, w)]
-    return sorted(set(out), key=lambda s: (s[1], s[2], s[0]))
+    for m in re.finditer(r"[^\n]+", text):
+        a, b = m.span()
+        if _CUE.search(text, a, b):
+            out += [(kind, a + x, a + y) for x, y, kind in decode(m[0], tokens_of(m[0]), w)]
+    return out
 
 
 def find(text: str | None, w: dict) -> tuple[list, list]:
@@ -356,7 +376,7 @@ def find(text: str | None, w: dict) -> tuple[list, list]:
     text = text or ""
     base = base_spans(text)
     spans = list(base)
-    if _CUE.search(text) or _SPELLED.search(text):
+    if _CUE.search(text):
         taken = sorted((a, b) for _, a, b in base)
         starts = [a for a, _ in taken]
         reach = list(accumulate((b for _, b in taken), max))  # the furthest end of the spans up to here
