@@ -1,16 +1,17 @@
 r"""License scans: base phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, as the set of its words; a template is the set of its words. A block meets a template if it
-contains at least `threshold` of the template's words, so a notice wrapped over lines is met only if one line holds that
-many. Tokens outside all templates can't count, so blocks
-keep template tokens alone. Tokens are ordered by their frequency over all blocks, rarest first. With c = ceil(threshold
-* |T|), a block that meets T shares a token of T's first |T| - c + 1 tokens, and that token is among the block's own first
-|B| - c + 1 (prefix filter); |B| >= c (length filter); and the tokens from the first shared one on must suffice
-(positional filter). Candidates from the equi-join on prefix tokens are verified by intersecting the sets. The templates
-are a fixed table of a few rows, so the join needs no shuffle whatever the corpus; all of it is DataFrame operations.
-
-A null text is empty; rows equal in doc_id and text have equal results; an empty table gives an empty table; only
-doc_id and text are read.
+A block of a template of n words is any ceil((1 + SLACK) * n) consecutive words of a text, whatever lines they stand on; it and the
+template are compared as sets of words. A block meets the template if it contains at least `threshold` of the template's
+words. Words outside all templates can't count, so texts keep the places of template tokens alone. Tokens are ordered by
+their frequency over all texts, rarest first. With c = ceil(threshold * |T|), a block that meets T shares a
+token of T's first |T| - c + 1 tokens (prefix filter): places of such tokens are joined with an index of those prefixes. Of what stands within
+a block's reach of the place, tokens of T that are not before the shared one must be c at least (positional
+filter), which also bounds the set's size (length filter). Blocks that begin at each of the candidates' tokens are then verified by counting; a
+block that meets T meets it from its first token of T on, so no other starts are needed. The templates are a fixed table of
+bounded size, so the join needs no shuffle whatever the corpus; all of it is DataFrame operations.
+
+A null text is empty; rows equal in doc_id and text have equal results; long texts cost time in proportion; an empty table gives
+an empty table; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -28,12 +29,19 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 TEMPLATES = {
     "mit-notice": "released under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "apache-2-notice": "licensed under the apache license version 2 0",
+    "apache-2-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
     "cc-by-nc-4": "licensed under cc by nc 4 0",
     "gpl-3": "this work is licensed under the gnu general public license version 3",
+    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "reserved": "all rights reserved",
 }
+#: Words that a block may have beyond the template's, as a share of them.
+SLACK = 0.25
 THRESHOLD = 0.9
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before A-Z are lower case.
@@ -72,32 +80,47 @@ def base_places(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"))
 
 
+def block_words(template: str) -> int:
+    """Words of a block for the template."""
+    return ceil((1 + SLACK) * len(template.split()))
+
+
 def template_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, th, block (line number), template, containment of every block that meets a template."""
+    """doc_id, th, block (its first word, from 0), template, containment of every block that begins at a token of the template and meets it."""
     sets = {name: sorted(set(t.split())) for name, t in templates.items()}
     need = {name: ceil(threshold * len(s) - 1e-9) for name, s in sets.items()}
     vocabulary = sorted(set().union(*sets.values()))
-    known = F.array(*map(F.lit, vocabulary))
-    lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(lower_ascii(F.col("text")), "\n", -1)).alias("block", "line"))
-    blocks = lines.select("doc_id", "th", "block", F.array_intersect(F.split("line", _GAP), known).alias("tokens")).where(F.size("tokens") >= min(need.values()))
-    blocks = materialize(blocks, "blocks")
-    counts = dict(blocks.select(F.explode("tokens").alias("token")).groupBy("token").count().collect())  # a row for each template token at most
-    order = {t: k for k, t in enumerate(sorted(vocabulary, key=lambda t: (counts.get(t, 0), t)))}
-    number = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))
-    ranked = blocks.select("doc_id", "th", "block", F.array_sort(F.transform("tokens", lambda t: number[t])).alias("b"))
-    least = min(need.values())
-    prefix = ranked.select("*", F.posexplode(F.slice("b", F.lit(1), F.size("b") - (least - 1))).alias("at", "token"))
+    known = F.create_map(*(x for k, t in enumerate(vocabulary) for x in (F.lit(t), F.lit(k))))
+    words = words_of(F.col("text"))
+    # two bounds that a text must meet, so that most texts end here
+    enough = F.size(F.array_intersect(F.split(lower_ascii(F.col("text")), _GAP), F.array(*map(F.lit, vocabulary)))) >= min(need.values())
+    numbered = F.transform(words, lambda w, i: F.struct(i.alias("at"), known[w].alias("token")))
+    texts = docs.where(F.col("text").isNotNull() & enough).select("doc_id", F.xxhash64("text").alias("th"), F.filter(numbered, lambda x: x["token"].isNotNull()).alias("hits"))
+    texts = materialize(texts, "tokens")
+    counts = dict(texts.select(F.explode(F.array_distinct("hits.token")).alias("token")).groupBy("token").count().collect())  # a row for each template token at most
+    rank = {k: r for r, k in enumerate(sorted(range(len(vocabulary)), key=lambda k: (counts.get(k, 0), k)))}
     index = []
     for name, s in sets.items():
-        t = sorted(order[x] for x in s)
-        index += [(name, t, need[name], k, t[k]) for k in range(len(t) - need[name] + 1)]
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(index, "template string, t array<int>, need int, t_at int, token int"))
-    shared = F.array_intersect("b", "t")
-    found = prefix.join(table, "token").where(F.size("b") >= F.col("need"))
-    found = found.where(F.least(F.size("b") - F.col("at"), F.size("t") - F.col("t_at")) >= F.col("need"))
-    found = found.withColumn("shared", shared).where((F.size("shared") >= F.col("need")) & (F.get("shared", F.lit(0)) == F.col("token")))
-    return found.select("doc_id", "th", "block", "template", (F.size("shared") / F.size("t")).alias("containment"))
+        t = sorted(rank[vocabulary.index(x)] for x in s)
+        index += [(name, t, need[name], block_words(templates[name]), t[k]) for k in range(len(t) - need[name] + 1)]
+    prefixes = sorted({row[-1] for row in index})
+    table = F.broadcast(docs.sparkSession.createDataFrame(index, "template string, t array<int>, need int, reach int, token int"))
+    widest = max(map(block_words, templates.values()))
+    ranks = F.array(*(F.lit(rank[k]) for k in range(len(vocabulary))))
+    hits = F.transform("hits", lambda x: F.struct(x["at"].alias("at"), F.get(ranks, x["token"]).alias("token")))
+    ranked = texts.select("doc_id", "th", hits.alias("hits"))
+    seeds = F.filter(F.transform("hits", lambda x, i: F.struct(i.alias("i"), x["at"].alias("at"), x["token"].alias("token"))), lambda x: F.array_contains(F.array(*map(F.lit, prefixes)), x["token"]))
+    around = lambda i: F.slice("hits", F.greatest(i - widest + 2, F.lit(1)), F.least(i, F.lit(widest - 1)) + widest)
+    near = ranked.select("doc_id", "th", F.explode(F.transform(seeds, lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"), around(x["i"]).alias("around")))).alias("x")).select("doc_id", "th", "x.*")
+    found = near.join(table, "token")
+    inside = F.filter("around", lambda x: (x["at"] > F.col("at") - F.col("reach")) & (x["at"] < F.col("at") + F.col("reach")) & F.array_contains("t", x["token"]))
+    found = found.withColumn("block", inside)
+    found = found.where(F.size(F.array_distinct(F.filter(F.col("block.token"), lambda x: x >= F.col("token")))) >= F.col("need"))
+    shared = lambda a: F.size(F.array_distinct(F.transform(F.filter("block", lambda x: (x["at"] >= a) & (x["at"] < a + F.col("reach"))), lambda x: x["token"])))
+    starts = F.filter("block", lambda x: x["at"] <= F.col("at"))  # blocks from here on hold the place
+    met = F.explode(F.transform(starts, lambda x: F.struct(x["at"].alias("first"), shared(x["at"]).alias("shared"))))
+    out = found.select("doc_id", "th", "template", "need", F.size("t").alias("size"), met.alias("m")).where(F.col("m.shared") >= F.col("need"))
+    return out.select("doc_id", "th", F.col("m.first").alias("block"), "template", (F.col("m.shared") / F.col("size")).alias("containment")).distinct()
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -106,7 +106,7 @@ FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 
 
 def _op2_sql() -> str:
-    rows = ", ".join(f"('{n}', {sorted(set(t.split()))})" for n, t in licenses.TEMPLATES.items())
+    rows = ", ".join(f"('{n}', {sorted(set(t.split()))}, {licenses.block_words(t)})" for n, t in licenses.TEMPLATES.items())
     phrases = ", ".join(f"('{p}', {p.split()}, '{label}')" for p, label in licenses.PHRASES.items())
     return rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -114,10 +114,10 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 p(phrase, parts, label) AS (VALUES {phrases}),
 b AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, parts, label, unnest(range(0, len(w) - len(parts) + 1)) AS i FROM w, p) WHERE w[i + 1 : i + len(parts)] = parts),
 g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY doc_id),
-l AS (SELECT doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-tm(template, t) AS (VALUES {rows}),
-m AS (SELECT doc_id, template, len(list_intersect(list_distinct(lw), t)) / len(t) AS c FROM l, tm WHERE len(list_intersect(list_distinct(lw), t)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)),
-k AS (SELECT doc_id, list(DISTINCT template) AS met, max(c) AS best FROM m GROUP BY doc_id)
+tm(template, t, reach) AS (VALUES {rows}),
+s AS (SELECT doc_id, template, tm.t, reach, w, unnest(range(1, len(w) + 1)) AS i FROM w, tm WHERE len(list_intersect(list_distinct(w), tm.t)) >= ceil({licenses.THRESHOLD} * len(tm.t) - 1e-9)),
+m AS (SELECT doc_id, template, len(list_intersect(list_distinct(w[i : i + reach - 1]), t)) / len(t) AS c FROM s WHERE list_contains(t, w[i])),
+k AS (SELECT doc_id, list(DISTINCT template) AS met, max(c) AS best FROM m JOIN tm USING (template) WHERE c >= ceil({licenses.THRESHOLD} * len(tm.t) - 1e-9) / len(tm.t) GROUP BY doc_id)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base, []::VARCHAR[])), ',') AS base_labels,
   array_to_string(list_sort(list_concat(coalesce(base, []::VARCHAR[]), coalesce(met, []::VARCHAR[]))), ',') AS labels,
