@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_rows import slow_counts, slow_dedup
-from tests.llm.test_simhash import grouped, near, slow_fingerprint
+from tests.llm.test_simhash import alike, grouped
 from tests.llm.test_tokens_packing import ids_of
 from trailforge.llm import pii, registry
 
@@ -47,9 +47,8 @@ def test_stages_against_plain_versions(spark):
             slow = slow_dedup([now[i][0] for i in order])
             want = {i: (slow[k][2], now[i][1]) for k, i in enumerate(order) if not 0 < slow[k][1] == slow[k][0]}
         elif name == "near duplicates":
-            prints = {i: slow_fingerprint(t) for i, (t, _) in now.items()}
-            groups = grouped(near(sorted(set(prints.values()))), prints.values())
-            want = {i: now[i] for g in groups for i in [min(i for i in prints if prints[i] in g)]}
+            groups = grouped(alike({i: t for i, (t, _) in now.items()}), now)
+            want = {min(g): now[min(g)] for g in groups}
         elif name == "pii":
             w = pii.weights()
             want = {i: (pii.redact(t, pii.find(t, w)[1]), s) for i, (t, s) in now.items()}

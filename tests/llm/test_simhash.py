@@ -1,5 +1,4 @@
 import numpy as np
-import pyarrow as pa
 import xxhash
 
 from trailforge.llm import simhash as S
@@ -38,7 +37,7 @@ def test_fingerprint():
         assert S.fingerprint(t) == slow_fingerprint(t)
 
 
-def test_runs_and_blocks_keep_every_link():
+def clusters():
     rng = np.random.default_rng(3)
     fps = [int(rng.integers(0, 1 << 64, dtype=np.uint64)) for _ in range(40)]
     for x in list(fps):
@@ -46,29 +45,94 @@ def test_runs_and_blocks_keep_every_link():
             for b in rng.integers(0, 64, rng.integers(1, 5)):
                 x ^= 1 << int(b)
             fps.append(x)
-    fps = sorted({S._signed(x) for x in fps})
+    return sorted({S._signed(x) for x in fps})
+
+
+def test_tables_discard_pairs_and_lose_none():
+    fps = clusters()
+    f = np.array(fps, np.int64).view(np.uint64)[:, None]
+    table = S.distance_table(f, S.references())
+    assert table.tolist() == [[(x ^ int(r[0]) & (1 << 64) - 1).bit_count() if x >= 0 else ((x + (1 << 64)) ^ int(r[0])).bit_count() for r in S.references()] for x in fps]
+    candidates = survived = linked = 0
+    for i in range(len(fps)):
+        keep = S.survivors(table[:i], table[i], 4)
+        near_by = np.flatnonzero(np.bitwise_count(f[:i] ^ f[i])[:, 0] <= 4)
+        assert set(near_by) <= set(keep)
+        assert np.flatnonzero(S.close_pairs(f[:i], np.repeat(f[i : i + 1], i, axis=0), table[:i], np.repeat(table[i : i + 1], i, axis=0), 4)).tolist() == near_by.tolist()
+        candidates, survived, linked = candidates + i, survived + len(keep), linked + len(near_by)
+    assert 0 < linked <= survived < 0.05 * candidates
+
+
+def test_keys_and_blocks_keep_every_link(spark):
+    fps = clusters()
     want = grouped(near(fps))
-    for block, n in ((20_000, 1), (3, 1), (20_000, 10**7)):
-        rows = sorted((k, S._signed(x & m), x) for k, m in enumerate(S.coordinate_groups(n, 4)) for x in fps)
-        if block == 3:  # one key for all, so that its run is too long for a task
-            rows = [(0, 0, x) for x in fps]
-        cut = [rows[a : a + 5] for a in range(0, len(rows), 5)]
-        kinds = (pa.int32(), pa.int64(), pa.int64())
-        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*b, strict=True), kinds, strict=True)], names=list("abc")) for b in cut]
-        edges, long = [], {}
-        for out in S._link_runs(iter(batches), 4, block):
-            for u, v, combo, over in zip(*(c.to_pylist() for c in out.columns), strict=True):
-                if over < 0:
-                    edges.append((u, v))
-                else:
-                    long.setdefault(over, []).append(u)
-        if block == 3:
-            assert sorted(x for g in long.values() for x in g) == fps
-            blocks = [(0, 0, a, b, x) for a in long for b in long if a <= b for x in {*long[a], *long[b]}]
-            batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*blocks, strict=True)], names=list("abcde"))
-            for out in S._link_blocks(iter([batch]), 4):
-                edges += zip(*(c.to_pylist() for c in out.columns), strict=True)
-        assert grouped(edges) == want
+    nodes = S.with_table(spark.createDataFrame([(x, x) for x in fps], "node long, f0 long"), 1)
+    for block, n in ((20_000, 1), (20_000, 10**7), (9, 1)):  # nine nodes of a key are many: blocks
+        masks = np.array(S.coordinate_groups(n, 4), np.uint64)[:, None]
+        for grow in (S.forest, S.shortest_forest):
+            assert grouped((r.u, r.v) for r in S.links(nodes, 1, masks, 4, block, grow).collect()) == want
+    none = np.zeros((1, 1), np.uint64)  # one key for all
+    assert grouped((r.u, r.v) for r in S.links(nodes, 1, none, 4, 50).collect()) == want
+
+
+def test_shortest_forest_takes_the_shortest_edges():
+    rng = np.random.default_rng(5)
+    f = rng.integers(0, 1 << 64, (60, 2), dtype=np.uint64) & rng.integers(0, 1 << 64, (60, 2), dtype=np.uint64)
+    table, d = S.distance_table(f, S.references(2)), np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2)
+    for radius in (20, 40, 128):
+        u, v = S.shortest_forest(f, table, radius)
+        up, total = {}, []
+
+        def find(x, up=up):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for x, i, j in sorted((int(d[i, j]), i, j) for i in range(60) for j in range(i) if d[i, j] <= radius):
+            if find(i) != find(j):
+                up[find(i)] = find(j)
+                total.append(x)
+        assert sorted(d[u, v].tolist()) == total
+
+
+def words5(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(texts):
+    """Pairs of keys whose texts have five-word shingles with a Jaccard similarity of 0.8 or more."""
+    sets = {k: words5(t) for k, t in texts.items()}
+    keys = list(sets)
+    return [(a, b) for n, a in enumerate(keys) for b in keys[:n] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def test_near_copies_of_texts(spark):
+    import random
+
+    rng = random.Random(9)
+    texts = {}
+    for k in range(25):
+        base = [f"{rng.choice('abcdefgh')}{rng.randint(0, 400)}" for _ in range(rng.randint(60, 500))]
+        texts[len(texts)] = " ".join(base)
+        for share in (0, 0.004, 0.01, 0.02, 0.03, 0.05, 0.2):  # words changed
+            texts[len(texts)] = " ".join(f"new{rng.randint(0, 999)}" if rng.random() < share else w for w in base)
+    pairs = alike(texts)
+    groups = grouped(pairs, texts)
+    docs = spark.createDataFrame([(i, t, i) for i, t in texts.items()], "doc_id long, text string, n long")
+    kept = {r.doc_id for r in S.drop_near_duplicates(docs).collect()}
+    first = {min(g) for g in groups}
+    assert first <= kept  # nothing below the threshold is taken for a copy
+    linked = sum(len(g) - 1 for g in groups)
+    assert linked > 80 and len(kept - first) <= 0.02 * linked, (len(kept - first), linked)
+
+
+def test_equal_rows_leave_one_and_always_the_same(spark):
+    rows = [(1, "a b c", "z", 1), (1, "a b c", "y", 2), (1, "a b c", "y", 1), (None, "a b c", "x", 0), (1, "d", "x", 0), (2, None, "q", 0), (3, "", "q", 0), (None, "e f", "q", 5), (None, "e f", "q", 4)]
+    for n in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, s string, n int").repartition(n)
+        got = sorted(map(tuple, S.drop_near_duplicates(docs).collect()), key=repr)
+        assert got == [(1, "a b c", "y", 1), (1, "d", "x", 0), (2, None, "q", 0), (None, "e f", "q", 4)]
 
 
 def test_components(spark):
@@ -90,6 +154,4 @@ def test_query_against_brute_force(spark):
     want = {(i, f"{f & (1 << 64) - 1:016x}", first[f]) for i, f in prints.items()}
     x = slow_fingerprint("x")
     assert got == want | {(None, f"{x & (1 << 64) - 1:016x}", first[x])}
-    kept = S.drop_near_duplicates(docs).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(first.values())) and kept[0].fp == "fp"
     assert S.simhash_components(docs.limit(0)).count() == 0 and S.drop_near_duplicates(docs.limit(0)).count() == 0
