@@ -123,6 +123,21 @@ def test_errors_take_no_part(spark):
     assert {(r.kind, r.what, r.records) for r in summary(done).collect()} == {("rejected", "satellite: grace period", 2), ("error", "e", 1), ("point", "", 1)}
 
 
+def test_no_exchange_without_order(spark):
+    plan = lambda chain: run_chain(frame(spark, points("t", [1.0, 2.0])), chain)._jdf.queryExecution().executedPlan().toString()
+    alone = [s.QualityGate(), s.SpeedGate(), s.HeightRange(), s.StopMark()]
+    for chain in ([], alone, *([x] for x in alone)):
+        assert "Exchange" not in plan(chain) and "Window" not in plan(chain)
+    assert plan([*alone, s.MovingAverage(3)]).count("Exchange ") == 1
+    assert plan([s.StopMark(), g.Gates((g.HeightGate(),)), s.StopMark()]).count("Exchange ") == 1
+
+    class Own:
+        def apply(self, df):
+            return df
+
+    assert plan([Own()]).count("Exchange ") == 1  # a stage that promises nothing may need the order
+
+
 def test_one_exchange_without_gates(spark):
     plan = lambda chain: run_chain(frame(spark, points("t", [1.0, 2.0])), chain)._jdf.queryExecution().executedPlan().toString()
     native = [x for x in stages(CHAIN) if not isinstance(x, g.Gates)]

@@ -174,6 +174,14 @@ def test_rotation(tmp_path):
             log.write("z" * 99)
         log.close()
         assert all(os.path.exists(f"{p}.{k}") for k in range(1, 8))
+    gap = str(tmp_path / "gap.log")
+    for k in (1, 3, 4, 5):
+        (tmp_path / f"gap.log.{k}").write_text(str(k))
+    for keep, want in ((4, {1: "n", 2: "1", 4: "3", 5: "5"}), (0, {1: "m", 2: "n", 3: "1", 5: "3", 6: "5"})):
+        log = RotatingLog(gap, 1, keep)
+        log.write("nm"[keep == 0] * 1100)
+        log.close()
+        assert {k: open(f"{gap}.{k}").read()[:1] for k in range(1, 9) if os.path.exists(f"{gap}.{k}")} == want
     with pytest.raises(OSError):
         RotatingLog(str(tmp_path / "no" / "x.log"))
 

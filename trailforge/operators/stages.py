@@ -22,7 +22,8 @@ SMOOTHED = ("lat", "lon", "speed_kmh", "altitude")
 
 
 class Stage(Protocol):
-    """What a chain is made of. Own stages need no more than this."""
+    """What a chain is made of. Own stages need no more than this; one with `ordered = False` promises to look at single records
+    alone, and is run where they are."""
 
     def apply(self, df: DataFrame) -> DataFrame: ...
 
@@ -81,6 +82,8 @@ class QualityGate:
     min_snr: int = 19
     usable: int = 3
 
+    ordered = False
+
     def apply(self, df: DataFrame) -> DataFrame:
         view, hdop = F.col("satellites_in_view"), F.col("hdop")
         good = F.size(F.filter(view, lambda s: s["snr"] >= self.min_snr))
@@ -96,6 +99,8 @@ class SpeedGate:
 
     max_kmh: float = 200.0
 
+    ordered = False
+
     def apply(self, df: DataFrame) -> DataFrame:
         v = F.col("speed_kmh")
         text = F.concat(F.lit("speed too high ("), fixed(v, 1), F.lit(f" > {'%.1f' % self.max_kmh} km/h)"))
@@ -109,6 +114,8 @@ class HeightRange:
     low: float = -50.0
     high: float = 2000.0
 
+    ordered = False
+
     def apply(self, df: DataFrame) -> DataFrame:
         h = F.col("altitude")
         why = F.when(holds(h < self.low, h), "height: below minimum").when(holds(h > self.high, h), "height: above maximum")
@@ -121,6 +128,8 @@ class StopMark:
 
     below_kmh: float = 2.0
 
+    ordered = False
+
     def apply(self, df: DataFrame) -> DataFrame:
         v = F.col("speed_kmh")
         return df.withColumn("stopped", F.coalesce("stopped", F.lit(False)) | (alive() & holds(v < self.below_kmh, v)))

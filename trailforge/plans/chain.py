@@ -1,8 +1,9 @@
 """From settings to a plan: which stages a chain has, and how they run.
 
-The order of stages is fixed. Records are dealt by track once; expressions and windows before the gates share that
-exchange, the gates run in one pass over it, and windows after the gates need one more, as Spark can't see that a Python
-pass keeps partitions. Chains without gates are native throughout.
+The order of stages is fixed. A chain of stages that look at one record alone moves no data. Records are dealt by track before the
+first stage that needs their order; windows before the gates share that exchange, the gates run in one pass over it, and
+windows after the gates need one more, as Spark can't see that a Python pass keeps partitions. Chains without gates are
+native throughout.
 """
 
 from __future__ import annotations
@@ -49,12 +50,13 @@ def run_chain(records: DataFrame, chain: Iterable) -> DataFrame:
     for name, kind in (("error", "string"), ("reason", "string")):
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast(kind))
-    out = out.repartition("track_id")
-    chain = list(chain)
-    for k, stage in enumerate(chain):
+    dealt = False
+    for stage in chain:
+        if getattr(stage, "ordered", True) and not dealt:
+            out, dealt = out.repartition("track_id"), True
         out = stage.apply(out)
-        if isinstance(stage, g.Gates) and any(not isinstance(x, s.StopMark) for x in chain[k + 1 :]):
-            out = out.repartition("track_id")  # one exchange for all windows to come
+        if isinstance(stage, g.Gates):
+            dealt = False  # one exchange for all windows to come
     return out.drop(s.ALIVE)
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from .render import rendered
 
 
+#: Fixed value: the highest number that moves up where there is no limit.
+OLDEST = 999
+
+
 class RotatingLog:
     """Appends texts to a file; after a text that fills it, the file becomes path.1 and older ones move up.
 
@@ -37,11 +41,13 @@ class RotatingLog:
             self._open()
 
     def _shift(self) -> None:
-        have = 1
-        while os.path.exists(f"{self.path}.{have}") and (self.keep <= 0 or have < self.keep):
-            have += 1
-        for k in range(have, 1, -1):  # up to the first free number, or over the oldest
-            os.replace(f"{self.path}.{k - 1}", f"{self.path}.{k}")
+        """Every older file moves up, over gaps too; with a limit, what would move beyond it goes."""
+        last = f"{self.path}.{self.keep}"
+        if self.keep > 0 and os.path.exists(last):
+            os.remove(last)
+        for k in range(self.keep - 1 if self.keep > 0 else OLDEST, 0, -1):
+            if os.path.exists(older := f"{self.path}.{k}"):
+                os.replace(older, f"{self.path}.{k + 1}")
         os.replace(self.path, f"{self.path}.1")
 
     def close(self) -> None:
