@@ -48,6 +48,9 @@ def test_rest_stands_without_the_corpus_operators(tmp_path):
     import sys
 
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "spark-warehouse", "__pycache__"))
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"], cwd=tmp_path / "r", capture_output=True, text=True)
+    shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "spark-warehouse", "__pycache__", ".pytest_cache"))
+    run = lambda *a: subprocess.run([sys.executable, *a], cwd=tmp_path / "r", capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    said = run("-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))")
     assert said.stdout.split() == [str(len(tracks.queries())), "False"], said.stderr
+    said = run("-m", "pytest", "-x", "-q", "tests/test_functions.py", "tests/test_config_cli.py", "tests/test_entry.py::test_query_matches_sql[speed_filter]")
+    assert said.returncode == 0, said.stdout[-2000:]

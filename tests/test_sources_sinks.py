@@ -116,6 +116,65 @@ def test_binary_records(spark, tmp_path):
     assert short.latitude is None
 
 
+def test_parts_of_any_size_give_the_same_rows(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    lines = []
+    for k in range(120):
+        said = [rmc(time=f"{k:06d}"), gga(time=f"{k + (k % 7 == 0):06d}"), "$GPGSV,2,1,05,07,84,069,43,17,49,161,43,15,47,270,43,18,36,314,44*79", rmc(status="V"), "", "# " + "x" * rng.randint(0, 300), rmc() + "0", "\xe9" * 5]
+        lines += rng.sample(said[:2], 2) + rng.sample(said[2:], rng.randint(0, 4))
+    (tmp_path / "a.nmea").write_bytes("\n".join(lines).encode("latin-1"))
+    (tmp_path / "b.nmea").write_bytes(("\n".join(lines[:50]) + "\n").encode("latin-1"))
+    (tmp_path / "c.bin").write_bytes(b"".join(record(k % 3, height=k) for k in range(50)) + b"x" * 99)
+    (tmp_path / "d.bin").write_bytes(b"")
+    (tmp_path / "_e.nmea").write_bytes(b"")
+    paths = list_files(str(tmp_path))
+    want = sorted(map(repr, read_files(spark, paths).collect()))
+    assert len(want) > 150
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for size in (1, 400, 2000):
+            assert sorted(map(repr, read_files(spark, paths, size=size).collect())) == want, size
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    store = [f"file:{p}" for p in paths]  # hidden names of a store too
+    assert sorted(map(repr, read_files(spark, store, size=400).collect())) == want
+
+
+def test_lines_read_together_are_lines_read_alone():
+    import random
+
+    import pyarrow as pa
+
+    from trailforge.functions import lines as L
+    from trailforge.functions import sentence as S
+
+    rng = random.Random(1)
+    some = [
+        rmc(), gga(), rmc(speed="", course=""), gga(sats="", hdop="", alt=""), rmc(lat="5545.1234,S", lon="03739.5678,W"), rmc(lat="554,S"), rmc(speed="12abc"), rmc(status="V"), sentence("GNRMC,1"), "$GPRMC,1", "$", "$*00",
+        "$GPGSV,2,1,05,07,84,069,43,17,49,161,43,15,47,270,43,18,36,314,44*79", sentence("GPGSV,1,1,03,07,84,069,43,x,1,1,1,09,1,1,1"), sentence("GPGSV,1,1,03,07,,069,43,,1,1,1,09,1,1,1"), sentence("GPGSV,1,1,02,07,84,069,43,08,20,296,"),
+        sentence("GPGSV,1"), rmc() + "\r", sentence("GPRMCX,1,V,"), sentence("GPRMC,1,V"), "$GPRMC,é*00", sentence("GPGGA,120000,5545.1,N,03739.5,E,1,1e1,+5,-15.5,M"), "$GPGGA," + "1" * 300 + "*4E", sentence("GPTXT,01"),
+    ]
+
+    def changed(x):
+        x = list(x)
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(1, len(x)) if len(x) > 1 else 1
+            x[k : k + rng.randint(0, 1)] = rng.choice(["", *"0123456789,.*AVNSWE+-eé "])
+        x = "".join(x)
+        star = x.find("*")
+        return x[: star + 1] + f"{S.checksum(x):02X}" + x[star + 3 :] if star > 0 and rng.random() < 0.8 else x
+
+    some += [changed(rng.choice(some)) for _ in range(8000)]
+    at, columns = L.read(pa.array([x.encode() for x in some], pa.binary()))
+    got = {k: {n: c[i].as_py() for n, c in zip(L.COLUMNS, columns, strict=True)} for i, k in enumerate(at.tolist())}
+    for k, line in enumerate(some):
+        e, r, g, v = S.read(line)
+        want = {"error": e, "kind": L.ERROR} if e is not None else r | {"kind": L.RMC} if r else g | {"kind": L.GGA} if g else v | {"kind": L.GSV} if v else None
+        assert repr(got.get(k)) == repr(want and {c: want.get(c) for c in L.COLUMNS}), line
+
+
 def test_listing(tmp_path):
     for p in ("a.bin", "a/b.bin", "a/a.bin", "_h.bin", ".g.bin", "x.BIN", "260317/16/56.bin", "260317/15/01.bin"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Filters, Height, Jump, JumpSuppress, LowPass, Parking, Quality, Satellite, Speed, Stop
 from ..functions import geo, nmea, sentence
 from ..operators import gates as g
 from ..operators import stages as s
-from ..operators.design import low_pass
 from ..sinks.render import text_of
 from ..sources import binary
+from ..sources.files import read_path
 from ..sources.nmea import pair, pair_clean, sentences
 from .chain import run_chain, stages, summary
 from .trackview import SQL, track_view
@@ -106,7 +110,8 @@ def with_sums(bodies: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lines = [f"${b}*{sentence.checksum(f'${b}*'):02X}" for b in batch.column("line").to_pylist()]
+            # a body that begins with ! gets a wrong sum
+            lines = [f"${b.lstrip('!')}*{sentence.checksum(f'${b.lstrip(chr(33))}*') ^ (b[0] == '!'):02X}" for b in batch.column("line").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lines, pa.string())], names=names)
 
     return bodies.mapInArrow(run, bodies.schema)
@@ -153,6 +158,91 @@ def gsv_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("track_id", F.floor(F.col("rec_idx") / 3).alias("rec_idx"), v).select("track_id", "rec_idx", "v.*")
 
 
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as sentences that cross, repeat, are void, wrong or foreign, with satellites in several parts. Times are the records'
+    numbers in their track; MIXED says what each record has: sentence, time less the record's, and a number added to what it says."""
+    v = track_view(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("track_id").orderBy("rec_idx")).cast("long"))
+    view, ways = F.col("satellites_in_view"), F.when(F.col("n") % 3 == 0, "S").otherwise("N")
+    one = lambda x: F.concat_ws(",", x["prn"], x["elevation"], x["azimuth"], x["snr"])
+    text = lambda c, k, more=0: (F.col(c).cast(f"decimal(18,{k})") + F.lit(more)).cast(f"decimal(18,{k})").cast("string")
+    lat, lon = F.concat(_minutes(F.col("lat"), 2), F.lit(","), ways), F.concat(_minutes(F.col("lon"), 3), F.lit(",W"))
+
+    def body(what: str, later: int, more: int) -> Column:
+        time = (F.col("n") + later).cast("string")
+        if what[:3] == "GSV":
+            return F.concat_ws(",", F.lit(f"GPGSV,{what[4]},{what[3]}"), F.lit("5"), F.when(F.size(view) > 0, F.array_join(F.transform(view, one), ",")))
+        if what == "GGA":
+            return F.concat_ws(",", F.lit("GPGGA"), time, lat, lon, F.lit("1"), F.col("satellites"), text("hdop", 1), text("altitude", 2, more), F.lit("M,14.0,M,,"))
+        talker, status = {"FOREIGN": "GN"}.get(what, "GP"), {"VOID": "V"}.get(what, "A")
+        wrong = "!" if what == "WRONG" else ""
+        return F.concat_ws(",", F.lit(f"{wrong}{talker}RMC"), time, F.lit(status), lat, lon, text("speed_kmh", 2, more), text("course", 1), F.lit("010124,,,A"))
+
+    said = F.element_at(F.array(*(F.array(*(body(*x) for x in case)) for case in MIXED)), (F.col("n") % len(MIXED) + 1).cast("int"))
+    lines = v.select("track_id", "file_idx", "n", F.posexplode(said).alias("at", "line"))
+    return with_sums(lines.select("track_id", "file_idx", (F.col("n") * 10 + F.col("at")).alias("rec_idx"), "line"))
+
+
+#: Of the records of a track in turn: sentences, less or more time, more speed or height. GSVnt is part n of t.
+MIXED = (
+    (("GSV12", 0, 0), ("GSV22", 0, 0), ("RMC", 0, 0), ("GGA", 0, 0)),
+    (("GGA", 0, 0), ("RMC", 0, 0)),
+    (("VOID", 0, 0), ("RMC", 0, 0), ("GGA", 0, 0), ("GGA", 0, 1)),
+    (("RMC", 0, 0), ("GGA", 1, 2)),
+    (("RMC", 0, 1), ("RMC", 0, 2)),
+    (("FOREIGN", 0, 0), ("GGA", 0, 0), ("GGA", 0, 3), ("RMC", 0, 0)),
+    (("GSV13", 0, 0), ("GSV22", 0, 0), ("GSV23", 0, 0), ("WRONG", 0, 0), ("RMC", 0, 0), ("GGA", 0, 0)),
+    (("GSV11", 0, 0), ("GSV12", 0, 0), ("GGA", 0, 0), ("RMC", -1, 0), ("RMC", 0, 4)),
+    (("GSV11", 0, 0), ("RMC", 0, 0)),
+)
+
+
+def _mixed(made: DataFrame) -> DataFrame:
+    weight = F.aggregate("satellites_in_view", F.lit(0).cast("long"), lambda a, x: a + x["prn"] * x["snr"])
+    done = run_chain(made, []).withColumns({"in_view": F.size("satellites_in_view"), "prn_by_snr": weight})
+    return done.select("track_id", "rec_idx", "time", *map(six, ("lat", "lon", "speed_kmh", "altitude")), "in_view", "prn_by_snr", F.when(F.col("error").isNotNull(), text_of()).alias("error_text"))
+
+
+def nmea_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(pair(sentences(mixed_lines(spark, sf_dir))))
+
+
+def nmea_mixed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the fast path, which leaves such tracks to the ordered pass."""
+    return _mixed(pair_clean(sentences(mixed_lines(spark, sf_dir))))
+
+
+#: Files that tracks are dealt to, by track modulo their number.
+NAMES = ("a/b.nmea", "a/a.bin", "a.nmea", "_c.bin", "b/.h.nmea")
+
+
+def files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks written to files of both formats by the executors, and read back as one listing."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="trailforge-")
+    top = os.path.join("/" + re.sub("^file:/*|^/+", "", shared), f"files-{uuid.uuid4().hex}")
+    number = F.col("track_id").cast("long") % len(NAMES)
+    texts = nmea_lines(spark, sf_dir).select("track_id", "rec_idx", F.concat(F.encode("line", "UTF-8"), F.lit(b"\n")).alias("content"))
+    records = binary_records(spark, sf_dir).select("track_id", "rec_idx", F.col("rec").alias("content"))
+    text = number.isin([k for k, n in enumerate(NAMES) if n.endswith(".nmea")])
+    rows = texts.where(text).unionByName(records.where(~text)).select(number.cast("int").alias("file"), "rec_idx", "content")
+
+    def write(batches):
+        made, now = [], None
+        for batch in batches:
+            for k, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if k != now:
+                    now, path = k, os.path.join(top, NAMES[k])
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    made.append((k, open(path, "wb")))  # noqa: SIM115
+                made[-1][1].write(content)
+        for _, f in made:
+            f.close()
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32())], names=["file"])
+
+    rows.repartition(len(NAMES), "file").sortWithinPartitions("file", "rec_idx").select("file", "content").mapInArrow(write, "file int").collect()  # a row for each file
+    out = read_path(spark, top, recursive=True)
+    return out.select("file_idx", "rec_idx", "time", *map(six, ("lat", "lon", "speed_kmh", "altitude")), "satellites", "error")
+
+
 def binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as packed records; every seventh has no fix of its own."""
     v = track_view(spark, sf_dir).select("track_id", "file_idx", "rec_idx", "lat", "lon", "altitude", "speed_kmh", "course", "hdop", "satellites")
@@ -207,6 +297,9 @@ def queries() -> dict[str, Query]:
         "checksum": checksum,
         "nmea_pairing": nmea_pairing,
         "nmea_pairing_join": nmea_pairing_join,
+        "nmea_mixed": nmea_mixed,
+        "nmea_mixed_join": nmea_mixed_join,
+        "files_read": files_read,
         "gsv_attach": gsv_attach,
         "binary_decode": binary_decode,
         "render_points": render_points,
@@ -272,7 +365,12 @@ def _mean(c: str, w: int) -> str:
 
 def _fir(c: str) -> str:
     w = "OVER (PARTITION BY track_id ORDER BY n)"
-    return " + ".join(f"({h!r}) * coalesce(lag({c}, {k}) {w}, first_value({c}) {w})" for k, h in enumerate(low_pass(FIR_CUTOFF)))
+    return " + ".join(f"(SELECT c FROM fir WHERE k = {k}) * coalesce(lag({c}, {k}) {w}, first_value({c}) {w})" for k in range(21))
+
+
+#: The coefficients by their definition: a sinc at the cutoff under a Hamming window, of unit gain.
+_COEFFICIENTS = f"""raw AS (SELECT k, CASE WHEN k = 10 THEN {FIR_CUTOFF} ELSE sin(pi() * {FIR_CUTOFF} * (k - 10)) / (pi() * (k - 10)) END * (0.54 - 0.46 * cos(2 * pi() * k / 20)) AS c FROM range(21) t(k)),
+fir AS (SELECT k, c / (SELECT sum(c) FROM raw) AS c FROM raw)"""
 
 
 def _full() -> str:
@@ -327,6 +425,52 @@ def _rounded(columns: tuple[str, ...]) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
 
+def _mixed_sql() -> str:
+    """Pairing as a recursion over the sentences of a track: the latest RMC (r) and GGA (g) until their times are equal, and the satellites
+    since a first part, as long as totals agree."""
+    rows = []
+    for case, said in enumerate(MIXED):
+        for at, (what, later, more) in enumerate(said):
+            kind = {"GGA": "G", "VOID": "V", "WRONG": "W", "FOREIGN": "X"}.get(what, "S" if what[:3] == "GSV" else "R")
+            part, total = (what[3], what[4]) if kind == "S" else (0, 0)
+            rows.append(f"({case}, {at}, '{kind}', {later}, {more}, {part}, {total})")
+    ident = lambda c: f"CASE WHEN done THEN NULL ELSE {c} END"
+    return f"""WITH RECURSIVE {SQL}, mixed(c, pos, kind, later, more, part, total) AS (VALUES {", ".join(rows)}),
+said AS (SELECT t.track_id, t.n * 10 + pos AS rec_idx, kind, CAST(t.n + later AS VARCHAR) AS time, more, part, total, row_number() OVER (PARTITION BY t.track_id ORDER BY t.n, pos) AS i, t.n,
+  {_LAT6} AS y, {_LON6} AS x, speed_kmh, altitude, k, list_transform(snr, lambda s, j: {{'prn': j, 'snr': s}}) AS sats FROM tv t JOIN mixed ON t.n % {len(MIXED)} = c),
+state(track_id, i, r, rt, g, gt, tot, sats, done, er, eg, es) AS (
+  SELECT track_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR, 0, []::STRUCT(prn BIGINT, snr INTEGER)[], false, NULL::BIGINT, NULL::BIGINT, []::STRUCT(prn BIGINT, snr INTEGER)[] FROM said GROUP BY track_id
+  UNION ALL
+  SELECT track_id, i, {ident("r")}, {ident("rt")}, {ident("g")}, {ident("gt")}, CASE WHEN done THEN 0 ELSE tot END, CASE WHEN done THEN [] ELSE sats END, done, r, g, sats
+  FROM (SELECT *, r IS NOT NULL AND g IS NOT NULL AND rt = gt AND kind IN ('R', 'G') AS done
+    FROM (SELECT s.track_id, s.i, s.kind, CASE WHEN s.kind = 'R' THEN s.i ELSE p.r END AS r, CASE WHEN s.kind = 'R' THEN s.time ELSE p.rt END AS rt,
+        CASE WHEN s.kind = 'G' THEN s.i ELSE p.g END AS g, CASE WHEN s.kind = 'G' THEN s.time ELSE p.gt END AS gt,
+        CASE WHEN s.kind = 'S' AND s.part = 1 THEN s.total ELSE p.tot END AS tot,
+        CASE WHEN s.kind <> 'S' THEN p.sats WHEN s.part = 1 THEN s.sats WHEN s.total = p.tot THEN list_concat(p.sats, s.sats) ELSE p.sats END AS sats
+      FROM state p JOIN said s ON s.track_id = p.track_id AND s.i = p.i + 1)))
+SELECT p.track_id, s.rec_idx, r.time, round(CASE WHEN r.n % 3 = 0 THEN -r.y ELSE r.y END, 6) AS lat, round(-r.x, 6) AS lon,
+  round((CAST(printf('%.2f', r.speed_kmh) AS DOUBLE) + r.more) * 1.852, 6) AS speed_kmh, round(CAST(printf('%.2f', g.altitude) AS DOUBLE) + g.more, 6) AS altitude,
+  len(p.es)::INTEGER AS in_view, coalesce(list_sum(list_transform(p.es, lambda z: z.prn * z.snr)), 0)::BIGINT AS prn_by_snr, NULL AS error_text
+FROM state p JOIN said s USING (track_id, i) JOIN said r ON r.track_id = p.track_id AND r.i = p.er JOIN said g ON g.track_id = p.track_id AND g.i = p.eg WHERE p.done
+UNION ALL
+SELECT track_id, rec_idx, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  CASE WHEN length(time) >= 6 THEN {_TAG} ELSE '[??:??:??]' END || CASE WHEN kind = 'V' THEN ' No valid GPS fix' ELSE ' Parse error: invalid checksum' END FROM said WHERE kind IN ('V', 'W')"""
+
+
+def _files_sql() -> str:
+    order = {k: i for i, k in enumerate(sorted(range(len(NAMES)), key=lambda k: NAMES[k].split("/")))}
+    place = "CASE f " + " ".join(f"WHEN {k} THEN {i}" for k, i in order.items()) + " END"
+    kind = ", ".join(str(k) for k, n in enumerate(NAMES) if n.endswith(".bin"))
+    none = "f IN ({}) AND rec_idx % 7 = 0".format(kind)
+    pick = lambda b, t: f"CASE WHEN {none} THEN NULL WHEN f IN ({kind}) THEN {b} ELSE {t} END"
+    stamp = "strftime(to_timestamp(rec_idx + 1700000000) AT TIME ZONE 'UTC', '{}')"
+    return f"""WITH {SQL}, f AS (SELECT *, CAST(track_id AS BIGINT) % {len(NAMES)} AS f FROM tv), o AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY rec_idx) - 1 AS j FROM f)
+SELECT {place} AS file_idx, CASE WHEN f IN ({kind}) THEN j ELSE 3 * j + 2 END AS rec_idx, {pick(stamp.format("%H%M%S"), "CAST(rec_idx AS VARCHAR)")} AS time,
+  {pick("round(round(lat * 1e6) / 1e6 * CASE WHEN rec_idx % 2 = 0 THEN -1 ELSE 1 END, 6)", f"round({_LAT6}, 6)")} AS lat, {pick("round(-round(lon * 1e6) / 1e6, 6)", f"round({_LON6}, 6)")} AS lon,
+  {pick("round(round(speed_kmh * 10) / 10.0, 6)", "round(speed_kmh * 1.852, 6)")} AS speed_kmh, {pick("round(altitude) - 100", "round(altitude, 6)")} AS altitude, {pick("satellites", "satellites")} AS satellites,
+  CASE WHEN {none} THEN '[' || {stamp.format("%H:%M:%S")} || '] ' || ['Receiver error', 'Cell-tower position (LBS)', 'External location source (EL)', 'Last-known position (boot state)'][rec_idx % 4 + 1] END AS error FROM o"""
+
+
 _LAT6, _LON6 = "round(lat * 600000)::BIGINT / 600000.0", "round(lon * 600000)::BIGINT / 600000.0"
 
 
@@ -352,7 +496,7 @@ def oracle_sql() -> dict[str, str]:
         "stop_flag": f"{tv} {key}, speed_kmh < 3.0 AS stopped FROM tv",
         "parking_freeze": f"{tv}, {_parking('tv', 20.0)} {key}, {_rounded(('lat', 'lon', 'altitude'))}, slow AS stopped FROM parked",
         "moving_average": f"{tv} {key}, {', '.join(f'round({_mean(c, 4)}, 6) AS {c}' for c in ALL)} FROM tv",
-        "fir_lowpass": f"{tv} {key}, {', '.join(f'round({_fir(c)}, 6) AS {c}' for c in ALL)} FROM tv",
+        "fir_lowpass": f"{tv}, {_COEFFICIENTS} {key}, {', '.join(f'round({_fir(c)}, 6) AS {c}' for c in ALL)} FROM tv",
         "reject_summary": f"""WITH RECURSIVE {_full()} SELECT track_id, CASE WHEN reason IS NULL THEN 'point' ELSE 'rejected' END AS kind,
           regexp_replace(coalesce(reason, ''), ' ?\\([^)]*\\)', '', 'g') AS what, count(*) AS records FROM done GROUP BY ALL""",
         "haversine": f"{tv} {key}, round({_haversine('lat', 'lon', '55.75', '37.66')}, 6) AS metres FROM tv",
@@ -362,6 +506,9 @@ def oracle_sql() -> dict[str, str]:
         "checksum": f"""{tv}, {_SENTENCES} SELECT track_id, rec_idx * 3 + which AS rec_idx,
           list_reduce(list_transform(range(1, length(b) + 1), lambda i: ascii(substr(b, i::BIGINT, 1))), lambda a, c: xor(a, c))::INTEGER AS checksum, true AS valid FROM body""",
         "file_chain": _file_chain(),
+        "nmea_mixed": _mixed_sql(),
+        "nmea_mixed_join": _mixed_sql(),
+        "files_read": _files_sql(),
         "nmea_pairing": f"{tv} {fixes}",
         "nmea_pairing_join": f"{tv} {fixes}",
         "gsv_attach": f"""{tv} {key}, i::INTEGER AS prn, (k * i % 90)::INTEGER AS elevation, (k * 37 * i % 360)::INTEGER AS azimuth, snr[i] AS snr
