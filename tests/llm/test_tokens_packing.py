@@ -50,19 +50,53 @@ def test_special_strings_and_other_tokenizers():
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
-    for n, top in ((0, 1), (1, 1), (513, 2), (5000, 50_257), (2048, 70_000)):
-        x = rng.zipf(1.4, n) % top
+    for n, top in ((0, 1), (1, 1), (7, 1), (513, 2), (5000, 50_257), (2048, 70_000), (3000, 1 << 31), (40_000, 12)):
+        x = rng.zipf(1.4, n) % top if top < 1 << 20 else rng.integers(0, top, n)
         m = wavelet.WaveletMatrix(wavelet.build(x.astype(np.uint32), np.array([n]), [None]))
         assert m.doc_ids == [None] and m.tokens().tolist() == x.tolist()
-        for i in rng.integers(0, n, 20) if n else ():
-            assert m.access(int(i)) == x[i]
+        at = rng.integers(0, n, 50) if n else np.empty(0, np.int64)
+        assert m.access(at).tolist() == x[at].tolist()
         for t in {0, 1, 2, top - 1, 99_999, *x[:5].tolist()}:
-            at = np.flatnonzero(x == t)
-            assert m.count(t) == len(at) and m.count(t, n // 3, n // 2) == (x[n // 3 : n // 2] == t).sum()
-            for j in {0, len(at) // 2, len(at) - 1} if len(at) else ():
-                assert m.locate(t, j) == at[j]
+            where = np.flatnonzero(x == t)
+            assert m.count(t) == len(where) and m.count(t, n // 3, n // 2) == (x[n // 3 : n // 2] == t).sum()
+            for j in {0, len(where) // 2, len(where) - 1} if len(where) else ():
+                assert m.locate(t, j) == where[j]
+        starts = np.sort(at)
+        ends = np.minimum(starts + rng.integers(1, 90, len(starts)), n)
+        first, count, again = m.repeats(starts, ends)
+        for a, b, t, c, g in zip(starts, ends, first, count, again, strict=True):
+            where = a + np.flatnonzero(x[a:b] == x[a])
+            assert (t, c, g) == (x[a], len(where), where[1] if len(where) > 1 else -1)
         with pytest.raises(IndexError):
-            m.access(n)
+            m.access(np.array([n]))
+
+
+def test_codes_are_huffmans():
+    import heapq
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 50, 700):
+        counts = np.sort(rng.zipf(1.3, n) % 100_000 + 1)
+        heap = counts.tolist()
+        heapq.heapify(heap)
+        cost = sum(heap) if n == 1 else 0
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += both
+            heapq.heappush(heap, both)
+        size = wavelet.code_lengths(counts)
+        assert (size * counts).sum() == cost and (np.diff(size) <= 0).all()
+        made = [(k, int(c)) for k, some in enumerate(wavelet.codes(np.bincount(size)[1:].tolist()), 1) for c in some]
+        texts = sorted(f"{c:0{k}b}" for k, c in made)
+        assert len(texts) == n and not any(b.startswith(a) for a, b in zip(texts, texts[1:], strict=False))
+
+
+def test_files_are_smaller_than_plain_ids():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    ids = np.frombuffer(b"".join(encoder(default_tokenizer()).encode(t) for t in texts), "<u4")
+    assert len(wavelet.build(ids, np.array([len(ids)]), [1])) < 0.65 * 2 * len(ids)  # 16 bits an id
 
 
 def test_files_round_trip(spark):
@@ -72,7 +106,9 @@ def test_files_round_trip(spark):
     want, at = [], 0
     for i, t in sorted([(-1, "z"), *rows], key=lambda r: r[0]):
         b = ids_of(t, 0)
-        want.append((None if i < 0 else i, at, len(b) // 4, zlib.crc32(b)))
+        x = np.frombuffer(b, "<u4")
+        where = np.flatnonzero(x == x[0]).tolist()
+        want.append((None if i < 0 else i, at, len(b) // 4, zlib.crc32(b), x[0], len(where), where[1] if len(where) > 1 else None))
         at += len(b) // 4
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert wavelet.token_files(docs.limit(0)).count() == 0
