@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -125,6 +126,67 @@ def test_media(spark):
     assert media.media_columns(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I", len(body) + 8) + kind + body
+
+
+def table(kind, *numbers, flags=0):
+    return box(kind, struct.pack(f">{len(numbers) + 1}I", flags, *numbers))
+
+
+def trak(number, codec, timescale, duration, *tables):
+    tkhd = table(b"tkhd", 0, 0, number, 0, duration, *[0] * 15, flags=7)
+    stbl = box(b"stbl", box(b"stsd", bytes(4), struct.pack(">I", 1), box(codec, bytes(70))), *tables)
+    return box(b"trak", tkhd, box(b"mdia", table(b"mdhd", 0, 0, timescale, duration, 0), box(b"minf", stbl)))
+
+
+def two_tracks():
+    """A file with an audio and a video track that take turns, and where their samples stand, by construction."""
+    audio, video = [7, 9, 3, 11, 5, 2], [100, 40, 60, 80]
+    head, at, parts, a, v = 16 + 8, 0, [], [], []
+    for k, n in enumerate([*audio[:2], video[0], *audio[2:4], *video[1:3], *audio[4:], video[3]]):
+        (v if k in (2, 5, 6, 9) else a).append((head + at, head + at + n))
+        parts.append(bytes([k]) * n)
+        at += n
+    chunk = lambda ranges, firsts: [ranges[i][0] for i in firsts]
+    one = trak(1, b"mp4a", 48_000, 6144, table(b"stts", 1, 6, 1024), table(b"stsc", 1, 1, 2, 1), box(b"stz2", bytes(7), bytes([8]), struct.pack(">I", 6), bytes(audio)), table(b"stco", 3, *chunk(a, (0, 2, 4))))
+    wide = box(b"co64", bytes(4), struct.pack(">I3Q", 3, *chunk(v, (0, 1, 3))))
+    two = trak(2, b"avc1", 90_000, 12_000, table(b"stts", 1, 4, 3000), table(b"stss", 2, 1, 3), table(b"stsc", 3, 1, 1, 1, 2, 2, 1, 3, 1, 1), table(b"stsz", 0, 4, *video), wide)
+    return box(b"ftyp", b"isom", bytes(4)) + box(b"mdat", *parts) + box(b"moov", table(b"mvhd", *[0] * 24), one, two), a, v
+
+
+def test_two_tracks_by_their_own_tables(spark):
+    blob, a, v = two_tracks()
+    first, second = media.read_tracks(blob)
+    assert (first["codec"], first["timescale"], first["duration"], first["ranges"], first["key_ranges"]) == ("mp4a", 48_000, 6144, a, a)
+    assert (second["codec"], second["timescale"], second["duration"], second["ranges"], second["key_ranges"]) == ("avc1", 90_000, 12_000, v, [v[0], v[2]])
+    four = box(b"moov", trak(1, b"mp4a", 1, 1, table(b"stsc", 1, 1, 5, 1), box(b"stz2", bytes(7), bytes([4]), struct.pack(">I", 5), bytes([0x12, 0x34, 0x50])), table(b"stco", 1, 100)))
+    assert [y - x for x, y in media.read_track(four)["ranges"]] == [1, 2, 3, 4, 5]
+    bare = box(b"moov", trak(1, b"mp4a", 8, 9))
+    files = spark.createDataFrame([(1, blob), (2, None), (3, b""), (4, blob[:-40]), (5, bare), (6, four)], "id long, `a.b` binary").withColumnRenamed("a.b", "media")
+    got = {r.id: r for r in media.read_media(files).collect()}
+    assert (got[1].codec, got[1].n_samples, got[1].key_ranges, got[1].problem) == ("mp4a", 6, [x for pair in a for x in pair], None)
+    assert got[2].codec is None and got[2].problem is None and got[3].problem and got[4].problem
+    assert (got[5].codec, got[5].n_samples, got[5].duration, got[5].key_ranges) == ("mp4a", 0, 9, [])
+
+
+def test_fragments():
+    moov = box(b"moov", trak(1, b"avc1", 1000, 0), trak(2, b"mp4a", 1000, 0), box(b"mvex", table(b"trex", 1, 1, 40, 0, 0x10000), table(b"trex", 2, 1, 20, 6, 0)))
+    start = len(moov)
+
+    def moof(where, other):
+        one = box(b"traf", table(b"tfhd", 1, flags=0x20000), table(b"trun", 3, where, 0, 50, 30, 20, flags=0x205))
+        two = box(b"traf", table(b"tfhd", 2, 25, flags=0x20008), table(b"trun", 2, other, flags=1))
+        return box(b"moof", table(b"mfhd", 1), one, two)
+
+    data = start + len(moof(0, 0)) + 8
+    file = moov + moof(data - start, data + 100 - start) + box(b"mdat", bytes(112))
+    one, two = media.read_tracks(file)
+    assert one["ranges"] == [(data, data + 50), (data + 50, data + 80), (data + 80, data + 100)] and one["key_ranges"] == one["ranges"][:1] and one["duration"] == 120
+    assert two["ranges"] == two["key_ranges"] == [(data + 100, data + 106), (data + 106, data + 112)] and two["duration"] == 50
+
+
 def test_walk_refuses_broken_boxes():
     blob = bytearray(media.write_container(b"y" * 192))
     blob[0:4] = (1 << 30).to_bytes(4, "big")

@@ -1,8 +1,9 @@
 """Media columns: ISO base media containers, written and walked box by box.
 
-A container holds a payload as fixed-size samples of one track. The walker decodes the sample tables
-(stsd, mdhd, stts, stsc, stsz, stco/co64, stss) of nested boxes and derives codec, duration and the byte
-ranges of keyframes; it never touches the media data itself.
+media_columns() writes payloads as fixed-size samples of one track and reads them back; read_media() reads a column of files of any
+origin. The walker decodes each track's own sample tables (stsd, mdhd, stts, stsc, stsz/stz2, stco/co64, stss) and
+fragments (trex, tfhd, trun) of nested boxes and derives codec, duration and the byte ranges of keyframes; it never touches
+the media data itself.
 
 Nulls and empty texts are one sample of spaces; any length works (64-bit box sizes and offsets are
 written when needed); repeated rows give repeated values; an empty table gives an empty table. Only
@@ -94,43 +95,136 @@ def walk(blob: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         start = stop
 
 
-def read_track(blob: bytes) -> dict:
-    """Codec, timescale, duration, sample byte ranges and keyframe byte ranges of the first track, from its tables alone."""
-    track: dict = {"keys": None}
-    for path, a, b in walk(blob):
-        kind = path[-1]
-        if kind == b"mdhd":
-            version = blob[a]
-            track["timescale"], track["duration"] = struct.unpack_from(">IQ" if version else ">II", blob, a + (20 if version else 12))
-        elif kind == b"stsd":
-            track["codec"] = blob[a + 12 : a + 16].decode("latin-1")
-        elif kind == b"stts":
-            count = struct.unpack_from(">I", blob, a + 4)[0]
-            track["times"] = [struct.unpack_from(">II", blob, a + 8 + 8 * i) for i in range(count)]
-        elif kind == b"stss":
-            count = struct.unpack_from(">I", blob, a + 4)[0]
-            track["keys"] = struct.unpack_from(f">{count}I", blob, a + 8)
-        elif kind == b"stsc":
-            count = struct.unpack_from(">I", blob, a + 4)[0]
-            track["runs"] = [struct.unpack_from(">III", blob, a + 8 + 12 * i) for i in range(count)]
-        elif kind == b"stsz":
-            fixed, count = struct.unpack_from(">II", blob, a + 4)
-            track["sizes"] = [fixed] * count if fixed else list(struct.unpack_from(f">{count}I", blob, a + 12))
-        elif kind in (b"stco", b"co64"):
-            count = struct.unpack_from(">I", blob, a + 4)[0]
-            track["chunks"] = struct.unpack_from(f">{count}{'I' if kind == b'stco' else 'Q'}", blob, a + 8)
-        elif kind == b"mdat":
-            track["media"] = (a, b)
-    ranges, runs, k = [], track["runs"], 0
-    for i, at in enumerate(track["chunks"], 1):
+def _numbers(blob: bytes, at: int, count: int, kind: str) -> tuple[int, ...]:
+    return struct.unpack_from(f">{count}{kind}", blob, at)
+
+
+def _compact_sizes(blob: bytes, a: int) -> list[int]:
+    """Of a stz2 box: sizes of 4, 8 or 16 bits."""
+    width, count = blob[a + 7], struct.unpack_from(">I", blob, a + 8)[0]
+    if width == 4:
+        return [blob[a + 12 + i // 2] >> (4 if i % 2 == 0 else 0) & 15 for i in range(count)]
+    return list(_numbers(blob, a + 12, count, {8: "B", 16: "H"}[width]))
+
+
+def _table(blob: bytes, kind: bytes, a: int) -> tuple[str, object] | None:
+    """What a box of a track's tables says."""
+    count = struct.unpack_from(">I", blob, a + 4)[0] if kind in (b"stts", b"stss", b"stsc", b"stco", b"co64", b"stsd") else 0
+    if kind == b"mdhd":
+        return "clock", struct.unpack_from(">IQ" if blob[a] else ">II", blob, a + (20 if blob[a] else 12))
+    if kind == b"tkhd":
+        return "id", struct.unpack_from(">I", blob, a + (20 if blob[a] else 12))[0]
+    if kind == b"stsd":
+        return "codec", blob[a + 12 : a + 16].decode("latin-1") if count else ""
+    if kind == b"stts":
+        return "times", [struct.unpack_from(">II", blob, a + 8 + 8 * i) for i in range(count)]
+    if kind == b"stss":
+        return "keys", _numbers(blob, a + 8, count, "I")
+    if kind == b"stsc":
+        return "runs", [struct.unpack_from(">III", blob, a + 8 + 12 * i) for i in range(count)]
+    if kind == b"stsz":
+        fixed, count = struct.unpack_from(">II", blob, a + 4)
+        return "sizes", [fixed] * count if fixed else list(_numbers(blob, a + 12, count, "I"))
+    if kind == b"stz2":
+        return "sizes", _compact_sizes(blob, a)
+    if kind in (b"stco", b"co64"):
+        return "chunks", _numbers(blob, a + 8, count, "I" if kind == b"stco" else "Q")
+    return None
+
+
+def _sample_ranges(track: dict) -> list[tuple[int, int]]:
+    out, runs, sizes, k = [], track.get("runs", []), track.get("sizes", []), 0
+    for i, at in enumerate(track.get("chunks", ()) if runs else (), 1):
         while k + 1 < len(runs) and runs[k + 1][0] <= i:
             k += 1
-        for size in track["sizes"][len(ranges) : len(ranges) + runs[k][1]]:
-            ranges.append((at, at + size))
+        for size in sizes[len(out) : len(out) + runs[k][1]]:
+            out.append((at, at + size))
             at += size
-    track["ranges"] = ranges
-    track["key_ranges"] = ranges if track["keys"] is None else [ranges[i - 1] for i in track["keys"]]
-    return track
+    return out
+
+
+def _fragment(blob: bytes, start: int, body: int, end: int, track: dict, defaults: tuple[int, int, int]) -> None:
+    """Adds the samples that a moof box gives the track: ranges, durations and whether they are keyframes."""
+    follows = start  # where data goes on that no run places
+    for path, a, b in walk(blob, body, end):
+        if path != (b"traf",):
+            continue
+        boxes = [(p[-1], x) for p, x, _ in walk(blob, a, b)]
+        header = next((x for kind, x in boxes if kind == b"tfhd"), None)
+        if header is None:
+            continue
+        flags, track_id = struct.unpack_from(">II", blob, header)
+        base, at, (duration, size, kept) = start, header + 8, defaults
+        if flags & 1:
+            base, at = struct.unpack_from(">Q", blob, at)[0], at + 8
+        at += 4 * bool(flags & 2)
+        given = []
+        for bit in (8, 16, 32):
+            given.append(struct.unpack_from(">I", blob, at)[0] if flags & bit else None)
+            at += 4 * bool(flags & bit)
+        duration, size, kept = (x if x is not None else y for x, y in zip(given, (duration, size, kept), strict=True))
+        here = base if flags & 0x20001 else follows
+        for kind, x in boxes:
+            if kind != b"trun":
+                continue
+            flags, count = struct.unpack_from(">I", blob, x)[0] & 0xFFFFFF, struct.unpack_from(">I", blob, x + 4)[0]
+            at = x + 8
+            if flags & 1:
+                here, at = base + struct.unpack_from(">i", blob, at)[0], at + 4
+            first = struct.unpack_from(">I", blob, at)[0] if flags & 4 else None
+            at += 4 * bool(flags & 4)
+            for i in range(count):
+                got = []
+                for bit in (0x100, 0x200, 0x400, 0x800):
+                    got.append(struct.unpack_from(">I", blob, at)[0] if flags & bit else None)
+                    at += 4 * bool(flags & bit)
+                length = got[1] if got[1] is not None else size
+                mark = first if i == 0 and first is not None else got[2] if got[2] is not None else kept
+                if track_id == track["id"]:
+                    track["ranges"].append((here, here + length))
+                    track["duration"] += got[0] if got[0] is not None else duration
+                    if not mark & 0x10000:
+                        track["key_ranges"].append((here, here + length))
+                here += length
+        follows = here
+
+
+def read_tracks(blob: bytes) -> list[dict]:
+    """id, codec, timescale, duration, sample byte ranges and keyframe byte ranges of every track, from their own tables and from fragments.
+    A track without tables for its samples has none; one without a table of keyframes has only keyframes."""
+    tracks: list[dict] = []
+    extends: dict[int, tuple[int, int, int]] = {}
+    fragments = []
+    for path, a, b in walk(blob):
+        if path == (b"moov", b"trak"):
+            tracks.append({})
+        elif path[:2] == (b"moov", b"trak") and (found := _table(blob, path[-1], a)):
+            tracks[-1].setdefault(*found)
+        elif path == (b"moov", b"mvex"):
+            for inner, x, _ in walk(blob, a, b):
+                if inner == (b"trex",):
+                    track_id, _, *defaults = struct.unpack_from(">5I", blob, x + 4)
+                    extends[track_id] = tuple(defaults)
+        elif path == (b"moof",):
+            long = a >= 16 and struct.unpack_from(">I", blob, a - 16)[0] == 1 and blob[a - 12 : a - 8] == b"moof"
+            fragments.append((a - (16 if long else 8), a, b))
+    for track in tracks:
+        track["timescale"], track["duration"] = track.pop("clock", (0, 0))
+        track["codec"], track["id"] = track.get("codec", ""), track.get("id", 0)
+        track["ranges"] = _sample_ranges(track)
+        keys = track.get("keys")
+        track["key_ranges"] = list(track["ranges"]) if keys is None else [track["ranges"][i - 1] for i in keys if 0 < i <= len(track["ranges"])]
+        for start, a, b in fragments:
+            _fragment(blob, start, a, b, track, extends.get(track["id"], (0, 0, 0)))
+    return tracks
+
+
+def read_track(blob: bytes) -> dict:
+    """The first track; see read_tracks."""
+    tracks = read_tracks(blob)
+    if not tracks:
+        raise ValueError("no track")
+    return tracks[0]
 
 
 def payload_of(text: str | None, sample: int = SAMPLE) -> tuple[int, bytes]:
@@ -158,6 +252,27 @@ def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def read_media(files: DataFrame, column: str = "media") -> DataFrame:
+    """files with codec, timescale, duration, n_samples and key_ranges (starts and ends, flat) of the first track, and problem: why a file
+    can't be read, with the others null. A null file has all of them null. Columns of these names must not be there already."""
+
+    def run(blobs):
+        cols: list[list] = [[] for _ in range(6)]
+        for blob in blobs.to_pylist():
+            row: tuple = (None,) * 6
+            if blob is not None:
+                try:
+                    t = read_track(blob)
+                    row = (t["codec"], t["timescale"], t["duration"], len(t["ranges"]), [x for pair in t["key_ranges"] for x in pair], None)
+                except (ValueError, struct.error, IndexError, KeyError) as e:
+                    row = (*[None] * 5, f"{type(e).__name__}: {e}")
+            for c, v in zip(cols, row, strict=True):
+                c.append(v)
+        return cols
+
+    return with_columns(files, run, [column], [field("codec", "string"), field("timescale", "long"), field("duration", "long"), field("n_samples", "long"), field("key_ranges", "array<long>"), field("problem", "string")])
+
+
 def media_columns(docs: DataFrame, sample: int = SAMPLE, keep_media: bool = True) -> DataFrame:
     """doc_id, media (the container), n_bytes, payload_bytes, digests of what was read back, feature and key_ranges."""
 
