@@ -145,6 +145,49 @@ def test_patterns_hold_the_histogram(histogram):
     assert sum(n for n, _ in solution) <= 2 * max(volume / 32, big) + 2
 
 
+def fewest(histogram, room):
+    """The fewest sequences that hold a small histogram, by trying every content of the next one."""
+
+    @cache
+    def best(left):
+        if not any(left):
+            return 0
+        big = next(k for k, n in enumerate(left) if n)
+        out = sum(left)
+
+        def fill(k, space, now):
+            nonlocal out
+            if k == len(sizes):
+                out = min(out, 1 + best(tuple(now)))
+                return
+            for take in range(min(now[k], space // sizes[k]) + 1):
+                fill(k + 1, space - take * sizes[k], [*now[:k], now[k] - take, *now[k + 1 :]])
+
+        rest = [*left[:big], left[big] - 1, *left[big + 1 :]]
+        fill(big, room - sizes[big], rest)
+        return out
+
+    sizes = sorted(histogram, reverse=True)
+    return best(tuple(histogram[s] for s in sizes))
+
+
+def test_patterns_are_near_the_optimum():
+    rng = np.random.default_rng(6)
+    for _ in range(15):
+        sizes = rng.permutation(np.arange(2, 12))[:3]
+        histogram = {int(s): int(n) for s, n in zip(sizes, rng.integers(1, 6, 3), strict=True)}
+        least = fewest(histogram, 12)
+        columns, counts = packing.fractional(np.array(sorted(histogram, reverse=True)), np.array([histogram[s] for s in sorted(histogram, reverse=True)], float), 12)
+        assert counts.sum() <= 1.001 * least + 1e-6  # the program bounds the optimum from below
+        assert least <= sum(n for n, _ in packing.patterns(histogram, 12)) <= least + 1
+    # what first fit by falling size needs 11 sequences for where 9 hold it
+    hard = {51: 600, 27: 600, 26: 600, 23: 1200}
+    assert sum(n for n, _ in packing.patterns(hard, 100)) <= 900 + len(hard)
+    many = {c: int(60_000 / c**1.5) + 1 for c in range(1, 256)}  # small pieces enough for any room to be filled
+    volume = sum(c * n for c, n in many.items()) / 256
+    assert packing.fractional(np.array(sorted(many, reverse=True)), np.array([many[c] for c in sorted(many, reverse=True)], float), 256)[1].sum() <= 1.002 * volume
+
+
 def test_knapsack_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(20):

@@ -3,7 +3,8 @@
 A document's ids are cut into pieces of the sequence length and a rest. Lengths of pieces, rounded up to UNIT ids, make
 a histogram (at most length / UNIT classes, whatever the size of the corpus). A linear program over patterns (how
 many pieces of each class share a sequence) covers the histogram with the fewest sequences: new patterns
-come from a knapsack dynamic program over the dual prices until none pays. Pattern counts are rounded
+come from a knapsack dynamic program over the dual prices until the sequences are proved to be within a thousandth of the
+program's optimum. Pattern counts are rounded
 down, the classes left over (about as many sequences as there are classes, at any size) are packed by
 first fit decreasing. Pieces, ranked within their class, are assigned to the patterns' places by rank.
 
@@ -14,6 +15,7 @@ and text are read. Padding is what the rounding leaves, below UNIT ids a piece,
 from __future__ import annotations
 
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -70,24 +72,18 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     return w[:, m:]
 
 
-def fractional(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, rounds: int = 4000, patience: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns) and fractional counts that cover demand, within gap of the program's optimum (or where
-    patience rounds have gained less than gap / 100): revised simplex whose entering columns are priced by
-    knapsack(). Any round's basis is feasible. Products are written out, as threads of a BLAS don't pay here."""
+def fractional(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (columns) and fractional counts that cover demand, always within gap of the program's optimum, by its dual bound: revised
+    simplex whose entering columns are priced by knapsack(). Products are written out, as threads of a BLAS don't pay here."""
     m = len(sizes)
     basis = np.diag(room // sizes).astype(float)
     inverse = np.diag(1.0 / (room // sizes))
     cost = np.ones(m)
     want = demand * (1 + 1e-9 * np.arange(1, m + 1) / m)  # against ties in the ratio test
     x = (inverse * want).sum(axis=1)
-    seen = np.inf
-    for step in range(rounds):
+    for step in count():
         prices = (cost[:, None] * inverse).sum(axis=0)
         now = float((cost * x).sum())
-        if step % patience == 0:
-            if now > seen * (1 - gap / 100):
-                break
-            seen = now
         value, column = knapsack(np.maximum(prices, 0), sizes, room)
         slack = int(prices.argmin())
         enter = -np.eye(m)[slack] if -prices[slack] > value - 1 else column.astype(float)
