@@ -34,6 +34,16 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == want
 
 
+def test_the_archive_holds_the_modules(tmp_path):
+    import subprocess
+    import sys
+
+    path = entry.package(str(tmp_path))
+    code = "import trailforge.plans.queries as q; print(q.__file__, len(q.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": path})
+    assert said.stdout.split() == [os.path.join(path, "trailforge/plans/queries.py"), str(len(tracks.queries()))], said.stderr
+
+
 def test_every_reason_occurs(spark):
     reasons = {(r.reason or "passed").split(" (")[0] for r in tracks.full_chain(spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
     assert reasons == {
