@@ -11,6 +11,7 @@ from tests.llm.test_rows import slow_counts, slow_dedup
 from tests.llm.test_simhash import alike, grouped
 from tests.llm.test_tokens_packing import ids_of
 from trailforge.llm import pii, registry
+from trailforge.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +38,7 @@ def test_stages_against_plain_versions(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near duplicates", "pii", "packing"]
     made = []
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
+        docs = materialize(stage(spark, docs, SF), "plain")
         made.append((name, docs))
         rows = docs.collect()
         if name == "quality rules":
@@ -71,6 +72,34 @@ def test_stages_against_plain_versions(spark):
     assert sorted(map(key, final.collect())) == sorted(map(key, rows))
 
 
+def test_stages_take_odd_tables(spark):
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"word{k}" for k in range(80))
+    long = " ".join(f"item{k % 5000}x{k // 5000}" for k in range(150_000)) + "\npassword=hunter2"
+    rows = [
+        (1, words, "en", "a.b", 5), (1, words, "en", "a.b", 5), (2, words + " more", None, None, None), (None, words.replace("word", "name"), "de", "c", 1), (None, words.replace("word", "name"), "de", "c", 1),
+        (3, None, None, None, None), (4, "", "en", "a.b", 0), (5, " \n\t", "en", "a.b", 3), (6, long, "en", "c", len(long)), (7, "mail a@b.co " + words.replace("word", "term"), "fr", None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    docs = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(("a.b", "host", "strict", "rest", "__gone", "none", "id", "th", "node", "class", "start", "length"))))
+    empty = docs.limit(0)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs, empty = materialize(stage(spark, docs, SF), "odd"), stage(spark, empty, SF)
+        assert empty.collect() == []
+        if name != "packing":
+            got = docs.collect()
+            assert docs.columns == empty.columns == columns and all(tuple(r)[5:] == tuple(range(12)) for r in got)
+            kept[name] = sorted((-1 if r.doc_id is None else r.doc_id) for r in got)
+    assert kept["quality rules"] == [-1, -1, 1, 1, 2, 6, 7]
+    assert kept["line dedup"] == [-1, -1, 1, 1, 2, 6, 7]  # equal rows are one document, and the longer one is another line
+    assert kept["near duplicates"] == kept["pii"] == [-1, 1, 6, 7]
+    found = {r.doc_id for r in docs.collect()}
+    assert found == {None, 1, 6, 7}
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
