@@ -12,7 +12,7 @@ some bits (a bit is the difference of the distances to the reference of that bit
 * links of texts (`drop_near_duplicates`): sets of word shingles with a Jaccard similarity of `similarity` or more. Their 128-bit
   fingerprints differ at 15 % of the bits on average where that is 0.8, which no whole groups survive; keys are random
   choices of bits, so many that a pair at exactly the threshold shares one with probability RECALL (near-certain above it). Pairs
-  within the radius that such a pair keeps with the same probability are verified by their exact sets of shingles.
+  within a radius that nearly all such pairs keep are verified by their exact sets of shingles.
 
 Within one key only a spanning forest of the links is emitted, which is all that components need (for texts
 the forest of the shortest distances). Keys are counted first; one of more than BLOCK nodes is dealt out as pairs of blocks before
@@ -49,9 +49,9 @@ SMALL = 8
 #: Words of a shingle, and the similarity of their sets from which on texts are near copies.
 WORDS = 5
 SIMILARITY = 0.8
-#: 64-bit words of a fingerprint for links of texts, and the part of pairs at the very threshold that keys and radius each keep.
+#: 64-bit words of a fingerprint for links of texts, and the part of pairs at the very threshold that keys keep.
 WIDE = 2
-RECALL = 0.98
+RECALL = 0.995
 
 
 def _hashes(text: str | None, words: int) -> np.ndarray:
@@ -144,9 +144,9 @@ def differing(similarity: float) -> float:
 
 
 def wide_radius(similarity: float) -> int:
-    """The distance that fingerprints of sets at the threshold stay within with probability RECALL or more."""
+    """The distance that fingerprints of sets at the threshold stay within, but for one pair in 30,000: four deviations."""
     n, p = WIDE * BITS, differing(similarity)
-    return min(n, ceil(n * p + 2.06 * sqrt(n * p * (1 - p))))
+    return min(n, ceil(n * p + 4 * sqrt(n * p * (1 - p))))
 
 
 def wide_masks(n: int, similarity: float, seed: int = 2) -> np.ndarray:
