@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Filters, Height, Jump, JumpSuppress, LowPass, Parking, Quality, Satellite, Speed, Stop
 from ..functions import geo, nmea, sentence
+from ..functions.lines import stars
 from ..operators import gates as g
 from ..operators import stages as s
 from ..sinks.render import text_of
@@ -132,8 +133,17 @@ def nmea_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = nmea_lines(spark, sf_dir)
-    return lines.select("track_id", "rec_idx", nmea.checksum(F.col("line")).alias("checksum"), nmea.valid(F.col("line")).alias("valid"))
+    """Sums by expression, and validity by expression and as files are read; every fifth line says a wrong sum, or none."""
+    line, n = F.col("line"), F.col("rec_idx")
+    spoilt = F.when(n % 10 == 0, F.concat(F.expr("left(line, length(line) - 1)"), F.lit("G"))).when(n % 5 == 0, F.expr("left(line, length(line) - 1)")).otherwise(line)
+    lines = nmea_lines(spark, sf_dir).select("track_id", "rec_idx", spoilt.alias("line"))
+
+    def run(batches):
+        for batch in batches:
+            _, right = stars(batch.column("line").cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(right)], names=["track_id", "rec_idx", "line", "read_valid"])
+
+    return lines.mapInArrow(run, "track_id string, rec_idx long, line string, read_valid boolean").select("track_id", "rec_idx", nmea.checksum(line).alias("checksum"), nmea.valid(line).alias("valid"), "read_valid")
 
 
 FIXES = ("time", "lat", "lon", "speed_kmh", "course", "altitude", "satellites", "hdop")
@@ -504,7 +514,7 @@ def oracle_sql() -> dict[str, str]:
         "coord_convert": f"""{tv} {key}, printf('%02d%02d.%04d', m // 600000, m % 600000 // 10000, m % 10000) AS text,
           round((m // 600000 + (m % 600000) / 10000.0 / 60.0) * CASE WHEN rec_idx % 2 = 0 THEN 1 ELSE -1 END, 6) AS degrees FROM (SELECT *, round(lat * 600000)::BIGINT AS m FROM tv)""",
         "checksum": f"""{tv}, {_SENTENCES} SELECT track_id, rec_idx * 3 + which AS rec_idx,
-          list_reduce(list_transform(range(1, length(b) + 1), lambda i: ascii(substr(b, i::BIGINT, 1))), lambda a, c: xor(a, c))::INTEGER AS checksum, true AS valid FROM body""",
+          list_reduce(list_transform(range(1, length(b) + 1), lambda i: ascii(substr(b, i::BIGINT, 1))), lambda a, c: xor(a, c))::INTEGER AS checksum, (rec_idx * 3 + which) % 5 <> 0 AS valid, (rec_idx * 3 + which) % 5 <> 0 AS read_valid FROM body""",
         "file_chain": _file_chain(),
         "nmea_mixed": _mixed_sql(),
         "nmea_mixed_join": _mixed_sql(),

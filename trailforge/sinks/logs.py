@@ -6,6 +6,7 @@ import os
 import sys
 from typing import TextIO
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from .render import rendered
@@ -55,9 +56,13 @@ class RotatingLog:
 
 
 def _texts(processed: DataFrame):
-    """Texts in order, fetched a partition at a time."""
-    for row in rendered(processed).orderBy("track_id", "file_idx", "rec_idx").toLocalIterator(prefetchPartitions=True):
-        yield row.text
+    """Texts in order, fetched a partition at a time. They are kept meanwhile, as sorting looks at them twice."""
+    texts = rendered(processed).persist(StorageLevel.DISK_ONLY)
+    try:
+        for row in texts.orderBy("track_id", "file_idx", "rec_idx").toLocalIterator(prefetchPartitions=True):
+            yield row.text
+    finally:
+        texts.unpersist()
 
 
 def to_console(processed: DataFrame, stream: TextIO | None = None) -> None:
