@@ -190,17 +190,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size
     free = labels.where(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
     one = free.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    th = F.xxhash64("text")
+    sizes = docs.select("doc_id", th.alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).join(F.broadcast(chosen), "doc_id")
     # how far the bounds reach is found without the texts
-    ends = texts.select("doc_id", F.xxhash64("text").alias("th"), "bytes").orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(sample).collect()
-    so_far, taken = 0, 0
-    for row in ends:
+    so_far, taken = 0, []
+    for row in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(sample).collect():
         if so_far >= size:
             break
-        so_far, taken = so_far + row.bytes, taken + 1
-    rows = texts.orderBy(*order).limit(taken).select("text", F.col("quality").cast("int")).collect() if taken else []
-    return [tuple(r) for r in rows]
+        so_far += row.bytes
+        taken.append(row)
+    if not taken:
+        return []
+    keys = docs.sparkSession.createDataFrame(sorted({(r.doc_id, r.th) for r in taken}), "doc_id long, th long")
+    some = docs.select("doc_id", "text", th.alias("th")).join(F.broadcast(keys), ["doc_id", "th"])
+    text = {(r.doc_id, r.th): r.text for r in some.groupBy("doc_id", "th").agg(F.any_value("text").alias("text")).collect()}  # equal rows once
+    return [(text[r.doc_id, r.th], int(r.quality)) for r in taken]
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
