@@ -116,6 +116,22 @@ def test_plans_agree_with_steps(spark, lpf):
         assert len(seen) >= (9 if any(isinstance(x, g.Gates) for x in chain) else 5)
 
 
+def test_stretches_decide_as_records_do(spark):
+    """Long tracks in small batches, so that stretches end anywhere: at doubts, at batches, at tracks."""
+    rng = random.Random(21)
+    rows = [r for k in range(3) for r in wild(rng, f"t{k}", 400)]
+    chains = [(g.HeightGate(-50, 2000, 30),), (g.CoordinateJumpGate(100),), (g.JumpSuppressGate(3, 5, 3),), (g.JumpSuppressGate(3, 5, 0),), (g.HeightGate(-50, 2000, 30), g.CoordinateJumpGate(100), g.JumpSuppressGate(3, 5, 3))]
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            for gates in chains:
+                want = sequential(rows, [g.Gates(gates)])
+                got = run_chain(frame(spark, rows), [g.Gates(gates)]).collect()
+                assert len(got) == len(rows) and all(r.reason == want[r.track_id, r.rec_idx]["reason"] for r in got)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_errors_take_no_part(spark):
     rows = points("t", [50.0] * 4, satellites=[10, 0, 10, 10], error=[None, "e", None, None])
     done = run_chain(frame(spark, rows), [s.SatelliteGate(3, 4, 2)])

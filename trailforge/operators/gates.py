@@ -1,7 +1,9 @@
 """Gates that compare a record with the last one they accepted.
 
 What was accepted last depends on every decision before, so no window holds it. The gates of a chain stand together and
-run in one pass over sorted partitions: Arrow batches in, one gate state per track, never a whole track in memory.
+run in one pass over sorted partitions: Arrow batches in, one gate state per track, never a whole track in memory. Where a record was
+accepted, numpy has already told which of the next ones may be refused if all up to them are accepted; the stretch before the
+first of these is accepted at once, and records are judged one by one only from there to the next accepted one.
 """
 
 from __future__ import annotations
@@ -10,13 +12,15 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ..functions.geo import haversine_m
+from ..functions.geo import RADIUS_M, haversine_m
 from ..schema import ORDER
 
-#: Takes (altitude, lat, lon, speed_kmh); returns why the record is rejected, or None.
+#: Takes (altitude, lat, lon, speed_kmh); returns why the record is rejected, or None. Its accept() takes the same.
 Judge = Callable[[float, float, float, float], str | None]
 
 
@@ -32,8 +36,10 @@ class HeightJudge:
             return "height: above maximum"
         if abs(altitude - self.last) > self.gate.jump:
             return "height: altitude jump"
+        return self.accept(altitude, lat, lon, speed)
+
+    def accept(self, altitude, lat, lon, speed) -> None:
         self.last = altitude
-        return None
 
 
 @dataclass
@@ -44,8 +50,10 @@ class DistanceJudge:
     def __call__(self, altitude, lat, lon, speed):
         if self.last is not None and (d := haversine_m(*self.last, lat, lon)) > self.gate.limit:
             return f"coordinate jump detected ({d:.1f} m > {self.gate.limit:.1f} m)"
+        return self.accept(altitude, lat, lon, speed)
+
+    def accept(self, altitude, lat, lon, speed) -> None:
         self.last = (lat, lon)
-        return None
 
 
 @dataclass
@@ -60,8 +68,10 @@ class SpeedChangeJudge:
         if step > g.max_step or step > g.max_acceleration:
             self.wrong += 1
             return "jump_suppress: velocity jump" if step > g.max_step else "jump_suppress: excessive acceleration"
-        self.last, self.wrong = v, 0
-        return None
+        return self.accept(altitude, lat, lon, speed)
+
+    def accept(self, altitude, lat, lon, speed) -> None:
+        self.last, self.wrong = speed / 3.6, 0
 
 
 @dataclass(frozen=True)
@@ -75,6 +85,10 @@ class HeightGate:
     def judge(self) -> Judge:
         return HeightJudge(self)
 
+    def may_refuse(self, altitude: np.ndarray, lat: np.ndarray, lon: np.ndarray, speed: np.ndarray) -> np.ndarray:
+        """For each record but the first: whether it may be refused after the one before it was accepted."""
+        return (altitude[1:] < self.low) | (altitude[1:] > self.high) | (np.abs(np.diff(altitude)) > self.jump)
+
 
 @dataclass(frozen=True)
 class CoordinateJumpGate:
@@ -85,6 +99,12 @@ class CoordinateJumpGate:
     def judge(self) -> Judge:
         return DistanceJudge(self)
 
+    def may_refuse(self, altitude: np.ndarray, lat: np.ndarray, lon: np.ndarray, speed: np.ndarray) -> np.ndarray:
+        """As above; distances that come out near the limit may be refused, too."""
+        y, x = np.radians(lat), np.radians(lon)
+        a = np.sin(np.diff(y) / 2) ** 2 + np.cos(y[:-1]) * np.cos(y[1:]) * np.sin(np.diff(x) / 2) ** 2
+        return 2 * RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(0.0, 1 - a))) > self.limit - 1e-6 * (1 + abs(self.limit))
+
 
 @dataclass(frozen=True)
 class JumpSuppressGate:
@@ -97,6 +117,10 @@ class JumpSuppressGate:
     def judge(self) -> Judge:
         return SpeedChangeJudge(self)
 
+    def may_refuse(self, altitude: np.ndarray, lat: np.ndarray, lon: np.ndarray, speed: np.ndarray) -> np.ndarray:
+        step = np.abs(np.diff(speed / 3.6))
+        return (step > self.max_step) | (step > self.max_acceleration) if self.patience > 0 else step < 0
+
 
 @dataclass(frozen=True)
 class Gates:
@@ -106,24 +130,60 @@ class Gates:
 
     def apply(self, df: DataFrame) -> DataFrame:
         names = df.columns
-        needs = [names.index(c) for c in ("track_id", "reason", "error", "altitude", "lat", "lon", "speed_kmh")]
-        at, gates = names.index("reason"), self.gates
+        key, reason, error, *needs = (names.index(c) for c in ("track_id", "reason", "error", "altitude", "lat", "lon", "speed_kmh"))
+        gates = self.gates
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, judges = object(), []
+            now, judges, calm = object(), [], False  # calm: the track's last record was accepted by all
             for batch in batches:
-                reasons = []
-                for key, reason, error, *numbers in zip(*(batch.column(k).to_pylist() for k in needs), strict=True):
-                    if key != now:
-                        now, judges = key, [g.judge() for g in gates]
-                    if reason is None and error is None:
-                        numbers = [math.nan if x is None else x for x in numbers]
-                        for judge in judges:
-                            if (reason := judge(*numbers)) is not None:
-                                break
-                    reasons.append(reason)
+                n = batch.num_rows
+                if not n:
+                    continue
+                track, reasons = batch.column(key), batch.column(reason).to_pylist()
+                live = pc.and_(pc.is_null(batch.column(reason)), pc.is_null(batch.column(error))).to_numpy(zero_copy_only=False)
+                numbers = [batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in needs]
+                # tracks follow each other, and a null is a track too
+                codes = pc.fill_null(track.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                starts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), n]
+                for a, b in zip(starts, starts[1:], strict=False):
+                    if (name := track[a].as_py()) != now:
+                        now, judges, calm = name, [g.judge() for g in gates], False
+                    at = a + np.flatnonzero(live[a:b])
+                    calm = _judge(at, [x[at] for x in numbers], gates, judges, calm, reasons)
                 columns = [*batch.columns]
-                columns[at] = pa.array(reasons, pa.string())
+                columns[reason] = pa.array(reasons, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         return df.sortWithinPartitions("track_id", *ORDER).mapInArrow(run, df.schema)
+
+
+def _judge(at: np.ndarray, numbers: list[np.ndarray], gates: tuple, judges: list[Judge], calm: bool, reasons: list) -> bool:
+    """Sets the reasons of a track's live records (positions at); returns whether the last one was accepted."""
+    n = len(at)
+    if not n:
+        return calm
+    doubt = np.ones(n, bool)  # the first follows a record of another batch, or none
+    if n > 1:
+        with np.errstate(invalid="ignore"):
+            doubt[1:] = np.logical_or.reduce([g.may_refuse(*numbers) if hasattr(g, "may_refuse") else np.ones(n - 1, bool) for g in gates])
+    doubtful = np.flatnonzero(doubt).tolist()
+    rows = list(zip(*(x.tolist() for x in numbers), strict=True))
+    places, i, k = at.tolist(), 0, 0
+    while i < n:
+        if calm:
+            while k < len(doubtful) and doubtful[k] < i:
+                k += 1
+            stop = doubtful[k] if k < len(doubtful) else n
+            if stop > i:
+                for judge in judges:  # the last of the stretch is what counts from here on
+                    judge.accept(*rows[stop - 1])
+                i = stop
+                continue
+        why = None
+        for judge in judges:
+            if (why := judge(*rows[i])) is not None:
+                break
+        calm, i = why is None, i + 1
+        if why is not None:
+            reasons[places[i - 1]] = why
+    return calm
