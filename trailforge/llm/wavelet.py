@@ -147,6 +147,7 @@ class WaveletMatrix:
         self.done = np.r_[0, np.cumsum(self.ending, dtype=np.int64)].astype(np.int64)
         self._code: dict[int, tuple[int, int]] | None = None
         self._bytes: dict[int, np.ndarray] = {}
+        self._none: dict[int, np.ndarray] = {}
 
     def _before(self, k: int) -> np.ndarray:
         """Ones of plane k before each byte; made once for many questions, from the block counts."""
@@ -156,8 +157,9 @@ class WaveletMatrix:
 
     def ones(self, k: int, i: np.ndarray) -> np.ndarray:
         """Ones of plane k before each position."""
-        some = np.r_[self.planes[k], np.uint8(0)][i >> 3]
-        return self._before(k)[i >> 3] + np.bitwise_count(some & ((1 << (i & 7)) - 1).astype(np.uint8))
+        byte = i >> 3
+        some = self.planes[k][np.minimum(byte, len(self.planes[k]) - 1)]
+        return self._before(k)[byte] + np.bitwise_count(some & ((1 << (i & 7)) - 1).astype(np.uint8))
 
     def _one(self, k: int, i: int) -> int:
         """The same for one position, from the counts before its block."""
@@ -173,7 +175,9 @@ class WaveletMatrix:
         """Positions of the j-th (from 0) bits of that value in plane k."""
         before = self._before(k)
         if not bit:
-            before = 8 * np.arange(len(before)) - before
+            if k not in self._none:
+                self._none[k] = 8 * np.arange(len(before)) - before
+            before = self._none[k]
         byte = np.searchsorted(before, j, side="right") - 1
         some = self.planes[k][byte]
         return 8 * byte + _PLACES[some if bit else ~some, j - before[byte]]
@@ -234,23 +238,23 @@ class WaveletMatrix:
         """For each stretch: its first token, how often the stretch has it, and where its second occurrence is (-1 without one): down
         the planes by rank, and up again by select."""
         first = self.access(starts)
-        count, again = np.ones(len(starts), np.int64), np.full(len(starts), -1)
-        kinds, of = np.unique(first, return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        for token, some in zip(kinds.tolist(), np.split(order, np.cumsum(np.bincount(of))[:-1]) if len(kinds) else (), strict=True):
-            code, size = self.code_of(token)
-            a, b = starts[some], ends[some]
-            for k in range(size):
-                x, y = self.ones(k, a), self.ones(k, b)
-                a, b = (self.zeros[k] + x, self.zeros[k] + y) if code >> (size - 1 - k) & 1 else (a - x, b - y)
-            count[some] = b - a
-            twice = b - a > 1
-            i = a[twice] + 1
-            for k in range(size - 1, -1, -1) if twice.any() else ():
-                bit = code >> (size - 1 - k) & 1
-                i = self.select(k, bit, i - self.zeros[k] if bit else i)
-            again[some[twice]] = i
-        return first, count, again
+        order = np.argsort(self.alphabet)
+        leaf = order[np.searchsorted(self.alphabet[order], first)] if len(first) else np.empty(0, np.int64)
+        code = np.concatenate([np.empty(0, np.uint64), *self.of_code]).astype(np.int64)[leaf]
+        size = np.repeat(np.arange(1, self.levels + 1), self.ending)[leaf] if len(first) else leaf
+        a, b = np.array(starts, np.int64), np.array(ends, np.int64)
+        for k in range(self.levels):
+            on = np.flatnonzero(size > k)
+            bit, x, y = code[on] >> (size[on] - 1 - k) & 1, self.ones(k, a[on]), self.ones(k, b[on])
+            a[on], b[on] = np.where(bit, self.zeros[k] + x, a[on] - x), np.where(bit, self.zeros[k] + y, b[on] - y)
+        count, i = b - a, a + 1
+        for k in range(self.levels - 1, -1, -1):
+            on = np.flatnonzero((count > 1) & (size > k))
+            bit = code[on] >> (size[on] - 1 - k) & 1
+            for value in (0, 1):
+                some = on[bit == value]
+                i[some] = self.select(k, value, i[some] - value * self.zeros[k])
+        return first, count, np.where(count > 1, i, -1)
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: planes undone from the last to the first. What ends at a plane stands after the rest, leaf by leaf."""
