@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +82,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@cache
+def _libc():
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+    return trim
+
+
+def give_back() -> None:
+    """Returns memory that Arrow and the C library hold but don't use to the machine: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := _libc():
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving back memory after every batch it makes and at its end."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        for out in run(batches):
+            yield out
+            del out
+            give_back()
+        give_back()
+
+    return tidied
+
+
 def with_columns(df: DataFrame, fn: Callable[..., list], inputs: list[str], fields: list[T.StructField]) -> DataFrame:
     """df and more columns that fn computes from Arrow batches, one pass, one evaluation per row.
 
@@ -97,7 +128,7 @@ def with_columns(df: DataFrame, fn: Callable[..., list], inputs: list[str], fiel
             made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, k) for x, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=flat)
 
-    return df.toDF(*flat[: len(df.columns)]).mapInArrow(run, schema).toDF(*names)
+    return df.toDF(*flat[: len(df.columns)]).mapInArrow(tidy(run), schema).toDF(*names)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, discard, field, fresh, materialize, named, with_columns
+from .common import columns_of, discard, field, fresh, materialize, named, tidy, with_columns
 from .components import components
 
 BITS = 64
@@ -278,7 +278,7 @@ def links(nodes: DataFrame, words: int, masks: np.ndarray, radius: int, block: i
         dealt = rows.select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), *columns)
     group = ["key", "a", "b"]
     dealt = dealt.repartition(*group).sortWithinPartitions(*group, "node")
-    found = materialize(dealt.mapInArrow(lambda it: _link_groups(it, words, radius, grow), "u long, v long"), "links")
+    found = materialize(dealt.mapInArrow(tidy(lambda it: _link_groups(it, words, radius, grow)), "u long, v long"), "links")
     discard(hot)
     return found
 
