@@ -1,6 +1,7 @@
 """The driver's contract on its smallest tables, against the SQL."""
 
 import os
+import zipfile
 
 import duckdb
 import pytest
@@ -64,3 +65,17 @@ def test_rest_stands_without_the_corpus_operators(tmp_path):
     assert said.stdout.split() == [str(len(tracks.queries())), "False"], said.stderr
     said = run("-m", "pytest", "-x", "-q", "tests/test_functions.py", "tests/test_config_cli.py", "tests/test_entry.py::test_query_matches_sql[speed_filter]")
     assert said.returncode == 0, said.stdout[-2000:]
+
+
+def test_the_archive_stays_for_executors_that_come_later():
+    class Context:
+        master, given = "spark://elsewhere:7077", ()
+
+        def addPyFile(self, path):  # noqa: N802
+            self.given = (*self.given, path)
+
+    context = Context()
+    entry._shipped(context)
+    (path,) = context.given  # Spark serves it from there when an executor's first task asks for it
+    with zipfile.ZipFile(path) as archive:
+        assert "trailforge/plans/queries.py" in archive.namelist()
