@@ -155,3 +155,21 @@ def test_query_against_brute_force(spark):
     x = slow_fingerprint("x")
     assert got == want | {(None, f"{x & (1 << 64) - 1:016x}", first[x])}
     assert S.simhash_components(docs.limit(0)).count() == 0 and S.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_links_that_the_forest_leaves_out_are_found(spark):
+    rng = np.random.default_rng(4)
+    f = rng.integers(0, 1 << 64, (1, 2), dtype=np.uint64).repeat(12, axis=0)
+    f[1:, 0] ^= np.uint64(1) << np.arange(11, dtype=np.uint64)  # all within two bits: the forest is a star around the first
+    nodes = S.with_table(spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(f.view(np.int64))], "node long, f0 long, f1 long"), 2)
+    found = S.links(nodes, 2, np.zeros((1, 2), np.uint64), 20, grow=S.shortest_forest)
+    assert {min(r.u, r.v) for r in found.collect()} == {0}
+    common, other = np.arange(100, dtype="<u8"), np.arange(1000, 1100, dtype="<u8")  # the first is like none, the rest are like each other by twos
+    texts = [other, *(np.sort(np.r_[common[:60] + 200 * (k // 2), 10**6 + k]).astype("<u8") for k in range(11))]
+    sets = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "node long, set binary")
+    same = S.similar_texts(sets, found, 0.8)
+    assert same.count() == 0
+    want = grouped([(k, j) for k in range(12) for j in range(k) if S.similarity_of(texts[k], texts[j]) >= 0.8])
+    assert len(want) == 5
+    for block in (20_000, 4):
+        assert grouped((r.u, r.v) for r in S.missed_links(nodes, sets, found, same, 20, 0.8, block).collect()) == want

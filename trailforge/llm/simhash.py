@@ -42,6 +42,8 @@ BITS = 64
 REFERENCES = 16
 #: Nodes of one key that one task compares.
 BLOCK = 20_000
+#: Parts in which keys are counted before they are counted one by one.
+COARSE = 1 << 14
 #: Candidates by chance that a fingerprint may have on average.
 CHANCE = 4
 #: Groups up to this size compare all their pairs at once.
@@ -52,6 +54,8 @@ SIMILARITY = 0.8
 #: 64-bit words of a fingerprint for links of texts, and the part of pairs at the very threshold that keys keep.
 WIDE = 2
 RECALL = 0.995
+#: Bits of a hash by which texts that are no candidate's are left out: 1 MB of flags.
+FILTER = 23
 
 
 def _hashes(text: str | None, words: int) -> np.ndarray:
@@ -268,7 +272,11 @@ def links(nodes: DataFrame, words: int, masks: np.ndarray, radius: int, block: i
     columns = ["node", *(f"f{w}" for w in range(words)), *(f"t{k}" for k in range(REFERENCES // 8))]
     keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"f{w}").bitwiseAND(F.lit(_signed(m))) for w, m in enumerate(mask))) for k, mask in enumerate(masks)))
     rows = nodes.select(F.explode(keys).alias("key"), *columns)
-    hot = materialize(rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks")), "hot")
+    part = F.pmod("key", F.lit(COARSE))  # counted by parts of the keys first: no key of a small part is hot
+    full = materialize(rows.groupBy(part.alias("part")).count().where(F.col("count") > block).select("part"), "full")
+    some = rows.select("key").join(full, part == F.col("part"), "left_semi") if not full.isEmpty() else rows.select("key").limit(0)
+    hot = materialize(some.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks")), "hot")
+    discard(full)
     zero = F.lit(0).cast("long")
     if hot.isEmpty():
         dealt = rows.select("key", zero.alias("a"), zero.alias("b"), *columns)
@@ -310,23 +318,107 @@ def _row_key() -> list[Column]:
     return [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("th")]
 
 
-def similar_texts(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The candidates u, v whose texts' shingles have that Jaccard similarity or more. Each node's set is made once, from its least row's text."""
-    pairs = materialize(candidates.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+def _flags(wanted: DataFrame, bits: int = FILTER) -> np.ndarray:
+    """A bit for each value that the last bits of th may have: whether a row of wanted has it, in words of 64."""
+    at = F.shiftright(F.col("th").bitwiseAND((1 << bits) - 1), 6)
+    words = wanted.groupBy(at.alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(th & 63))")).alias("flags")).collect()  # 2^(bits - 6) rows at most
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[[r.at for r in words]] = [r.flags for r in words]
+    return out
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
+    """node and set (sorted hashes of its shingles, as bytes) of the nodes in candidates u, v. Each node's set is made once, from its
+    least row's text; a filter leaves out most other texts before anything is moved."""
+    ends = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
     wanted = materialize(nodes.join(ends, "node").select("node", "least.*"), "wanted")
-    texts = docs.select(*_row_key(), "text").join(wanted, _KEY).select("node", "text")
-    sets = with_columns(texts, lambda texts: [[shingles(t, words).tobytes() for t in texts.to_pylist()]], ["text"], [field("set", "binary")])
-    sets = materialize(sets.groupBy("node").agg(F.any_value("set").alias("set")), "sets")  # equal rows have equal sets
+    flags = _flags(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            th = batch.column(2).to_numpy()
+            some = batch.filter(pa.array(flags[(th >> 6) & (len(flags) - 1)] >> (th & 63) & 1 == 1))
+            made = pa.array([shingles(t, words).tobytes() for t in some.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], made], names=[*_KEY, "set"])
+
+    sets = docs.select(*_row_key(), "text").mapInArrow(tidy(run), "none boolean, id long, th long, set binary")
+    return materialize(sets.join(wanted, _KEY).groupBy("node").agg(F.any_value("set").alias("set")), "sets")  # equal rows have equal sets
+
+
+def similar_texts(sets: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
+    """The candidates u, v whose sets have that Jaccard similarity or more."""
 
     def judge(x: pa.Array, y: pa.Array) -> list[list[bool]]:
         return [[similarity_of(np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")) >= similarity for a, b in zip(x, y, strict=True)]]
 
+    pairs = candidates.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     one, two = (sets.select(F.col("node").alias(end), F.col("set").alias(name)) for end, name in (("u", "x"), ("v", "y")))
     both = pairs.join(one, "u").join(two, "v")
     return materialize(with_columns(both, judge, ["x", "y"], [field("same", "boolean")]).where("same").select("u", "v"), "similar")
 
 
+def cross_links(fps: np.ndarray, table: np.ndarray, label: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (positions) that join all parts (equal labels) that any pair within radius and of that similarity joins: every such
+    pair is judged unless its ends are joined already."""
+    label, size = label.copy(), np.array([len(x) for x in sets])
+    us, vs = [], []
+    for i in range(len(fps) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        rest = rest[np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i])]
+        rest = rest[survivors(table[rest], table[i], radius)]
+        for j in rest[np.bitwise_count(fps[rest] ^ fps[i]).sum(axis=1) <= radius].tolist():
+            if label[j] != label[i] and similarity_of(sets[i], sets[j]) >= similarity:
+                us.append(i)
+                vs.append(j)
+                label[label == label[j]] = label[i]
+    return us, vs
+
+
+def _cross_groups(batches: Iterator[pa.RecordBatch], words: int, radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Edges u, v of cross_links within groups: columns family, a, b (equal within a group, groups one after the other), node, label,
+    words, table and set."""
+    held: list[pa.Table] = []
+
+    def link(group: pa.Table) -> pa.RecordBatch:
+        rows = np.stack([c.to_numpy() for c in group.columns[3:-1]], axis=1)
+        fps = np.ascontiguousarray(rows[:, 2 : 2 + words]).view(np.uint64)
+        table = np.ascontiguousarray(rows[:, 2 + words :]).view(np.uint8)
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("set")]
+        u, v = cross_links(fps, table, rows[:, 1], sets, radius, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(rows[u, 0], pa.int64()), pa.array(rows[v, 0], pa.int64())], names=["u", "v"])
+
+    now = None
+    for batch in batches:
+        keys = np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1)
+        starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1] if len(keys) else []
+        for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if held and tuple(keys[a]) != now:
+                yield link(pa.concat_tables(held))
+                held.clear()
+            now = tuple(keys[a])
+            held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+    if held:
+        yield link(pa.concat_tables(held))
+
+
+def missed_links(nodes: DataFrame, sets: DataFrame, candidates: DataFrame, similar: DataFrame, radius: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """u, v: links that the candidates' forests left out. A forest takes the shortest edges, and two texts may be similar where the edges
+    between them are not. All pairs within radius of a group are in one component of candidates, so of every such component that the
+    similar pairs leave in parts, pairs of different parts are judged."""
+    family, part = (components(x).withColumnRenamed("root", name) for x, name in ((candidates, "family"), (similar, "label")))
+    rows = sets.select("node").join(family, "node", "left").join(part, "node", "left")
+    rows = rows.select("node", F.coalesce("family", "node").alias("family"), F.coalesce("label", "node").alias("label"))
+    open_ = rows.groupBy("family").agg(F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other")).where("one != other")
+    open_ = materialize(open_.select("family", F.ceil(F.col("n") / block).alias("blocks")), "open")
+    f, t = [f"f{w}" for w in range(WIDE)], [f"t{k}" for k in range(REFERENCES // 8)]
+    zero = F.lit(0).cast("long")  # a large family's nodes are dealt to blocks, and every block meets every other
+    rows = rows.join(open_, "family").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks")).withColumn("with", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("mine", "with").alias("a"), F.greatest("mine", "with").alias("b"), "node", "label")
+    rows = rows.join(nodes.select("node", *f, *t), "node").join(sets, "node").select("family", "a", "b", "node", "label", *f, *t, "set")
+    dealt = rows.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b", "node")
+    return materialize(dealt.mapInArrow(tidy(lambda it: _cross_groups(it, WIDE, radius, similarity)), "u long, v long"), "missed")
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """none, id, th (see _row_key), n (rows) and first (the least such key) of every distinct row of doc_id and text, by components of
     similar texts."""
@@ -335,8 +427,12 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
     prints = materialize(texts.select(*_row_key(), *f).groupBy(*_KEY, *f).agg(F.count("*").alias("n")), "prints")
     nodes = prints.groupBy(*f).agg(F.min(F.struct(*_KEY)).alias("least")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialize(with_table(nodes, WIDE), "nodes")
-    found = links(nodes, WIDE, wide_masks(nodes.count(), similarity), wide_radius(similarity), grow=shortest_forest)
-    first = materialize(classes(nodes, similar_texts(docs, nodes, found, similarity, words)), "classes")
+    radius = wide_radius(similarity)
+    found = links(nodes, WIDE, wide_masks(nodes.count(), similarity), radius, grow=shortest_forest)
+    sets = sets_of(docs, nodes, found, words)
+    same = similar_texts(sets, found, similarity)
+    same = same.unionByName(missed_links(nodes, sets, found, same, radius, similarity))
+    first = materialize(classes(nodes, same), "classes")
     return prints.join(nodes.select("node", *f), f).join(first, "node").select(*_KEY, "n", "first")
 
 
