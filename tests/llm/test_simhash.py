@@ -2,7 +2,7 @@ import numpy as np
 import xxhash
 
 from trailforge.llm import simhash as S
-from trailforge.llm.components import components
+from trailforge.llm.components import components, contracted, stars
 
 
 def slow_fingerprint(text):
@@ -173,3 +173,15 @@ def test_links_that_the_forest_leaves_out_are_found(spark):
     assert len(want) == 5
     for block in (20_000, 4):
         assert grouped((r.u, r.v) for r in S.missed_links(nodes, sets, found, same, 20, 0.8, block).collect()) == want
+
+
+def test_stars_keep_components(spark):
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 3), (50, 30), (200, 150), (200, 2000)):
+        u, v = rng.integers(0, n, (2, m))
+        a, b = stars(u, v)
+        assert grouped(zip(a.tolist(), b.tolist(), strict=True)) == [g for g in grouped(zip(u.tolist(), v.tolist(), strict=True)) if len(g) > 1]
+    chain = np.arange(500)[::-1]
+    assert stars(chain[:-1], chain[1:])[0].tolist() == [0] * 499 and len(stars(chain[:0], chain[:0])[0]) == 0
+    many = spark.createDataFrame([(k, k + 1 + j) for k in range(99) for j in range(2)], "u long, v long")
+    assert contracted(many.coalesce(1)).distinct().count() == 100

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns_of, discard, field, fresh, materialize, named, tidy, with_columns
-from .components import components
+from .components import components, contracted
 
 BITS = 64
 REFERENCES = 16
@@ -405,7 +405,7 @@ def missed_links(nodes: DataFrame, sets: DataFrame, candidates: DataFrame, simil
     """u, v: links that the candidates' forests left out. A forest takes the shortest edges, and two texts may be similar where the edges
     between them are not. All pairs within radius of a group are in one component of candidates, so of every such component that the
     similar pairs leave in parts, pairs of different parts are judged."""
-    family, part = (components(x).withColumnRenamed("root", name) for x, name in ((candidates, "family"), (similar, "label")))
+    family, part = (components(x).withColumnRenamed("root", name) for x, name in ((contracted(candidates), "family"), (similar, "label")))
     rows = sets.select("node").join(family, "node", "left").join(part, "node", "left")
     rows = rows.select("node", F.coalesce("family", "node").alias("family"), F.coalesce("label", "node").alias("label"))
     open_ = rows.groupBy("family").agg(F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other")).where("one != other")
