@@ -79,3 +79,25 @@ def test_the_archive_stays_for_executors_that_come_later():
     (path,) = context.given  # Spark serves it from there when an executor's first task asks for it
     with zipfile.ZipFile(path) as archive:
         assert "trailforge/plans/queries.py" in archive.namelist()
+
+
+def test_a_module_loaded_again_gives_its_archive_another_name():
+    import importlib.util
+
+    class Context:
+        master = "spark://elsewhere:7077"
+
+        def __init__(self):
+            self.given = {}
+
+        def addPyFile(self, path):  # noqa: N802
+            assert self.given.setdefault(os.path.basename(path), path) == path, "already registered with a different path"  # as Spark does
+            assert path == os.path.realpath(path)
+
+    context = Context()
+    for _ in range(2):
+        spec = importlib.util.spec_from_file_location("entry_again", entry.__file__)
+        again = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(again)
+        again._shipped(context)
+    assert len(context.given) == 2
