@@ -101,3 +101,24 @@ def test_a_module_loaded_again_gives_its_archive_another_name():
         spec.loader.exec_module(again)
         again._shipped(context)
     assert len(context.given) == 2
+
+
+def test_the_archive_stays_when_temporary_folders_are_cleared(tmp_path, monkeypatch):
+    import shutil
+    import tempfile
+    from types import SimpleNamespace
+
+    (tmp_path / "spark").mkdir()
+    (tmp_path / "temp").mkdir()
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path / "temp"))
+    files = SimpleNamespace(getRootDirectory=lambda: str(tmp_path / "spark"))
+    given = []
+
+    class Context:
+        master, addPyFile = "spark://elsewhere:7077", given.append  # noqa: N815
+        _jvm = SimpleNamespace(org=SimpleNamespace(apache=SimpleNamespace(spark=SimpleNamespace(SparkFiles=files))))
+
+    entry._shipped(Context())
+    shutil.rmtree(tmp_path / "temp")
+    with zipfile.ZipFile(*given) as archive:
+        assert "trailforge/plans/queries.py" in archive.namelist()
