@@ -122,3 +122,18 @@ def test_the_archive_stays_when_temporary_folders_are_cleared(tmp_path, monkeypa
     shutil.rmtree(tmp_path / "temp")
     with zipfile.ZipFile(*given) as archive:
         assert "trailforge/plans/queries.py" in archive.namelist()
+
+
+def test_the_driver_imports_nothing_from_the_archive(tmp_path, monkeypatch):
+    import sys
+
+    class Context:
+        master = "spark://elsewhere:7077"
+
+        def addPyFile(self, path):  # noqa: N802
+            sys.path.insert(1, str(tmp_path / os.path.basename(path)))  # as PySpark does; Spark deletes that file when the application ends
+
+    before = [*sys.path]
+    monkeypatch.setattr(sys, "path", [*before])
+    entry._shipped(Context())
+    assert sys.path == before
