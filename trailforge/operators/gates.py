@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..carry import carried
 from ..functions.geo import RADIUS_M, haversine_m
 from ..schema import ORDER
 
@@ -154,7 +155,7 @@ class Gates:
                 columns[reason] = pa.array(reasons, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        return df.sortWithinPartitions("track_id", *ORDER).mapInArrow(run, df.schema)
+        return df.sortWithinPartitions("track_id", *ORDER).mapInArrow(carried(run), df.schema)
 
 
 def _judge(at: np.ndarray, numbers: list[np.ndarray], gates: tuple, judges: list[Judge], calm: bool, reasons: list) -> bool:
