@@ -268,3 +268,30 @@ def test_command_line_runs(spark, tmp_path, capsys):
     assert (tmp_path / "o.log").read_text() == EXPECTED
     cli.run(spark, cli.parse([str(p), "-cf", "1"]))
     assert capsys.readouterr().out == EXPECTED
+
+
+def workers_peak():
+    """MB that the largest Python worker of this process's session had at most so far."""
+    procs = {}
+    for p in filter(str.isdigit, os.listdir("/proc")):
+        try:
+            with open(f"/proc/{p}/status") as f, open(f"/proc/{p}/cmdline") as g:
+                procs[int(p)] = dict(x.split(":", 1) for x in f.read().splitlines() if ":" in x), g.read()
+        except OSError:  # it has ended
+            pass
+
+    def ours(p):
+        while p in procs and p != os.getpid():
+            p = int(procs[p][0]["PPid"])
+        return p == os.getpid()
+
+    return max(int(s["VmHWM"].split()[0]) / 1024 for p, (s, c) in procs.items() if "pyspark" in c and "daemon" in c and p != os.getpid() and ours(p))
+
+
+def test_memory_does_not_follow_the_size_of_a_part(spark, tmp_path):
+    text = "\n".join(f"{rmc(time=f'{k:06d}')}\n{gga(time=f'{k:06d}')}" for k in range(5000)).encode() + b"\n"
+    (tmp_path / "a.nmea").write_bytes(text * 32)  # some 22 MB, one part
+    (tmp_path / "b.bin").write_bytes(record() * 110_000)
+    rows = read_path(spark, str(tmp_path)).groupBy("file_idx").count().collect()
+    assert {(r.file_idx, r["count"]) for r in rows} == {(0, 160_000), (1, 110_000)}
+    assert workers_peak() < 300
