@@ -9,7 +9,7 @@ from trailforge import cli, config
 from trailforge.plans.chain import run_chain, stages
 from trailforge.sinks.logs import RotatingLog, to_console, to_rotating_log, to_table, to_text
 from trailforge.sources import binary
-from trailforge.sources.files import format_of, list_files, read_files, read_path
+from trailforge.sources.files import format_of, list_files, read_files, read_path, whole_lines, whole_records
 
 EXPECTED = """[12:00:00] Coordinates: 55.75206°N, 37.65946°E
            Speed: 46.3 km/h, Course: 45.0°
@@ -270,28 +270,41 @@ def test_command_line_runs(spark, tmp_path, capsys):
     assert capsys.readouterr().out == EXPECTED
 
 
-def workers_peak():
-    """MB that the largest Python worker of this process's session had at most so far."""
-    procs = {}
+def peaks(mark):
+    """MB that processes with mark in their environment had at most so far."""
+    found = []
     for p in filter(str.isdigit, os.listdir("/proc")):
         try:
-            with open(f"/proc/{p}/status") as f, open(f"/proc/{p}/cmdline") as g:
-                procs[int(p)] = dict(x.split(":", 1) for x in f.read().splitlines() if ":" in x), g.read()
-        except OSError:  # it has ended
+            with open(f"/proc/{p}/environ", "rb") as f, open(f"/proc/{p}/status") as g:
+                if mark.encode() in f.read():
+                    found += [int(x.split()[1]) / 1024 for x in g if x.startswith("VmHWM:")]
+        except OSError:  # it has ended, or is another's
             pass
+    return found
 
-    def ours(p):
-        while p in procs and p != os.getpid():
-            p = int(procs[p][0]["PPid"])
-        return p == os.getpid()
 
-    return max(int(s["VmHWM"].split()[0]) / 1024 for p, (s, c) in procs.items() if "pyspark" in c and "daemon" in c and p != os.getpid() and ours(p))
-
-
-def test_memory_does_not_follow_the_size_of_a_part(spark, tmp_path):
+def test_memory_does_not_follow_the_size_of_a_part(spark, tmp_path, monkeypatch):
     text = "\n".join(f"{rmc(time=f'{k:06d}')}\n{gga(time=f'{k:06d}')}" for k in range(5000)).encode() + b"\n"
     (tmp_path / "a.nmea").write_bytes(text * 32)  # some 22 MB, one part
     (tmp_path / "b.bin").write_bytes(record() * 110_000)
+    monkeypatch.setitem(spark.sparkContext.environment, "MARK", tmp_path.name)  # workers that no other test used
     rows = read_path(spark, str(tmp_path)).groupBy("file_idx").count().collect()
     assert {(r.file_idx, r["count"]) for r in rows} == {(0, 160_000), (1, 110_000)}
-    assert workers_peak() < 300
+    assert max(peaks(f"MARK={tmp_path.name}")) < 300
+
+
+def test_pieces_are_whole_and_none_is_lost():
+    import random
+
+    rng = random.Random(5)
+    for last in (b"", b"\n"):
+        text = b"\n".join(bytes(rng.choices(b"ab", k=rng.choice((0, 1, 5, 40)))) for _ in range(60)) + last
+        for part in (1, 7, 50, len(text)):
+            for size in (1, 3, 30, len(text) + 1):
+                made = [x for start in range(0, len(text), part) for x in whole_lines(io.BytesIO(text), start, min(len(text), start + part), size)]
+                assert b"".join(c for _, c in made) == text and len({at for at, _ in made}) == len(made)
+                assert all(text[at : at + len(c)] == c and (c.endswith(b"\n") or at + len(c) == len(text)) and (not at or text[at - 1 : at] == b"\n") for at, c in made)
+                assert all(at < start + part and len(c) < size + 42 for start in range(0, len(text), part) for at, c in whole_lines(io.BytesIO(text), start, min(len(text), start + part), size))
+    records = bytes(range(196)) * 25 + b"x" * 9
+    made = [x for start in range(0, len(records), 196 * 4) for x in whole_records(io.BytesIO(records), start, min(len(records), start + 196 * 4), 196 * 3)]
+    assert b"".join(c for _, c in made) == records and all(at % 196 == 0 for at, _ in made)
